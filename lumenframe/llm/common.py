@@ -43,12 +43,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """How many words a text has, without looking at each one: the pieces of a split, less the empty ones at its ends."""
-    parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAK)
-    ends = F.when(F.size(parts) == 1, (parts[0] == "").cast("long")).otherwise(
-        (parts[0] == "").cast("long") + (F.element_at(parts, -1) == "").cast("long")
-    )
-    return F.size(parts).cast("long") - ends
+    """How many words a text has."""
+    return F.size(words(text)).cast("long")
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

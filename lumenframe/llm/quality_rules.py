@@ -12,20 +12,19 @@ from lumenframe.llm.common import SPACES, cut, words
 
 #: Frequent function words by language. A histogram has one bin for each distinct word and one for all others.
 COMMON = {
-    "en": "the of and to in a is that it for was on are as with his they at be this from by or had an not".split(),
-    "fr": "le la de et les des en un une du que est pour qui dans par sur pas au il elle ce ne se plus".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero".split(),
+    "en": "the of and to in a is that it for was on".split(),
+    "fr": "le la de et les des en un une du que est".split(),
+    "de": "der die und in den von zu das mit sich des auf".split(),
+    "es": "de la que el en y a los se del las un".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
 #: Character classes, in the order in which they are taken out of a text; what is left is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"[\s\p{Z}]+", r"[.,;:!?'\"()\-]+")
 #: Distances (0: the same, 1: nothing in common) above which a histogram is not that of prose.
-MOST_CHARS, MOST_WORDS = 0.28, 0.55
+MOST_CHARS, MOST_WORDS = 0.33, 0.55
 #: Texts under these lengths have no histogram worth comparing.
 LEAST_CHARS, LEAST_WORDS = 200, 40
-SCALE = 1_000_000
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -90,15 +89,14 @@ def _distance(p: Column, q: list[float]) -> Column:
 
 
 def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """The mean histograms of each supported language's own documents that pass the base rules and length guards.
+    """The histograms of all texts of each supported language that pass the base rules and length guards.
 
-    One row a supported language goes to the driver. Shares are summed as whole millionths, so that the order in
-    which rows come changes nothing.
+    One row of whole counts a supported language goes to the driver.
     """
     ok = found.where(~F.col("base_failed") & (F.col("n_words") >= LEAST_WORDS) & F.col("lang").isin(list(COMMON)))
-    sums = lambda c, n: [F.sum(F.floor(F.get(c, F.lit(i)) * SCALE)).alias(f"{c}{i}") for i in range(n)]
+    sums = lambda c, n: [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for i in range(n)]
     rows = (
-        ok.select("lang", _shares(F.col("char_bins")).alias("c"), _shares(F.col("word_bins")).alias("w"))
+        ok.select("lang", F.col("char_bins").alias("c"), F.col("word_bins").alias("w"))
         .groupBy("lang")
         .agg(*sums("c", len(CLASSES) + 1), *sums("w", len(WORDS) + 1))
         .orderBy("lang")

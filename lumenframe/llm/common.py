@@ -32,9 +32,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written to the shared folder and read again.
+
+    Its lineage ends there, so a lost executor costs no recomputation, and its size is known to the planner: a
+    checkpoint would keep the guess made for its plan, which multiplies from join to join in a loop.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:
@@ -59,13 +65,14 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame,
     """df with its rows numbered from 0 in a total order, and their count.
 
     Rows are dealt by range, so no task holds them all. What goes to the driver is one count a partition. The ordered
-    rows are cut to the shared folder first: the counts and the numbers then come from the same partitions.
+    rows are checkpointed first: the counts and the numbers then come from the same partitions.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = "__tie"
     ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *order, F.col(tie))
-    fixed = cut(ranged.sortWithinPartitions(*order, F.col(tie)).drop(tie))
+    shared_dir(spark)
+    fixed = ranged.sortWithinPartitions(*order, F.col(tie)).drop(tie).checkpoint()
     per = dict(fixed.groupBy(F.spark_partition_id().alias("p")).count().collect())
     starts, total = {}, 0
     for p in sorted(per):

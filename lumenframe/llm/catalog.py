@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.embedding_dedup import op3_pca_tiles
 from lumenframe.llm.mixing import op6_golden_mix
+from lumenframe.llm.order_minhash import op5_order_minhash
 from lumenframe.llm.quality_rules import op4_divergence_rules
 from lumenframe.llm.sharding import op1_feistel_shards
+from lumenframe.llm.substring_dedup import op9_doubling_windows
+from lumenframe.llm.token_codes import op2_addressable_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir) and works on whole tables."""
-    return {f.__name__: f for f in (op1_feistel_shards, op4_divergence_rules, op6_golden_mix)}
+    return {f.__name__: f for f in (op1_feistel_shards, op2_addressable_ids, op3_pca_tiles, op4_divergence_rules, op5_order_minhash, op6_golden_mix, op9_doubling_windows)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,8 +16,10 @@ from lumenframe.llm.wordhash import blocks, mixed, ranges, windows, word_hashes
 #: Words in a k-mer, k-mers in a sample, and samples. At a similarity of 0.8 a sample is shared with a probability of
 #: about 0.6, so all 16 miss less than once in a million pairs.
 K, PICKED, SAMPLES = 5, 2, 16
-#: Pairs within buckets are all looked at once there are no more of them than this many times the rows in buckets.
-FEW = 4
+#: Buckets of up to SMALL documents are compared pair by pair, larger ones by tiles of about TILE documents.
+SMALL, TILE = 16, 512
+#: Columns of the incidence matrix that are multiplied at once.
+WIDE = 4096
 
 
 def labelled(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +145,57 @@ def _verified(parts: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each of a shares with each of b: products of incidence matrices, some columns at a time."""
+    size = lambda x: np.array([len(y) for y in x])
+    left, right = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(left, right)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    row_a, row_b = np.repeat(np.arange(len(a)), size(a)), np.repeat(np.arange(len(b)), size(b))
+    for at in range(0, len(common), WIDE):
+        part, found = common[at : at + WIDE], []
+        for x, rows, n in ((left, row_a, len(a)), (right, row_b, len(b))):
+            place = np.minimum(np.searchsorted(part, x), len(part) - 1)
+            hit = part[place] == x
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[rows[hit], place[hit]] = 1
+            found.append(m)
+        out += found[0] @ found[1].T
+    return out
+
+
+def _tiled(parts: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links between two tiles of a bucket, or within one. Those that join what is joined already are left out."""
+
+    def opened(cell: pa.Scalar) -> tuple[list[int], list[int], list[np.ndarray]]:
+        rows = cell.as_py()
+        texts = [np.frombuffer((r["text"] or "").encode(), dtype=np.uint8) for r in rows]
+        return [r["doc"] for r in rows], [r["part"] for r in rows], [labelled(x, np.array([0, len(x)]))[0] for x in texts]
+
+    for part in parts:
+        out = []
+        for k in range(part.num_rows):
+            same = part.column("same")[k].as_py()
+            docs_a, parts_a, a = opened(part.column("left")[k])
+            docs_b, parts_b, b = (docs_a, parts_a, a) if same else opened(part.column("right")[k])
+            na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+            need = similarity * (na[:, None] + nb[None, :]) / (1 + similarity)
+            hits = (_overlaps(a, b) >= need - 1e-6) & (np.array(parts_a)[:, None] != np.array(parts_b)[None, :])
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while (y := root.get(x, x)) != x:
+                    root[x] = x = root.get(y, y)
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(hits, 1) if same else hits)), strict=True):
+                x, y = find(parts_a[i]), find(parts_b[j])
+                if x != y and aligned(a[i], b[j], similarity) >= similarity:
+                    root[max(x, y)] = min(x, y)
+                    out.append((docs_a[i], docs_b[j]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id_col, class_id (the smallest id of its class), copy_of and kept (whether it is that one).
 
@@ -152,10 +205,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     equal ids and equal words are copies. Other columns are ignored; an empty table gives no rows.
 
     One pass makes sketches; copies leave after it, as one row by task. A sample that documents share puts them in a
-    bucket. A bucket is not compared pair by pair at first: all its documents are held against its smallest, which
-    links most of a large group of copies in as many comparisons as it has members. Those of one component need no
-    more comparing, since links among them change nothing. This goes on with the next smallest until the pairs left,
-    which cross components, are few; these are all looked at. So no link is lost and there is no cap.
+    bucket. First all documents of a bucket are held against its smallest, which links most of a group of copies in as
+    many comparisons as it has members. Links within what is linked by then change nothing; buckets that still cross
+    components are compared whole: small ones pair by pair, large ones by pairs of tiles, where one matrix product
+    tells the k-mers that each two documents share. A pair of tiles gives a spanning set of links, never all pairs. No
+    link between components is lost and nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = d.where("doc is not null")
@@ -165,7 +219,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     shared = rows.groupBy("s", "sig").count().where("count > 1").select("s", "sig")
     buckets = cut(rows.join(shared, ["s", "sig"]).select(F.xxhash64("s", "sig").alias("bucket"), F.col("rep").alias("doc"), "size"))
     texts = cut(known.join(buckets.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")))
-    links = None
     fits = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -173,31 +226,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
         right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda p: _verified(p, similarity), "a long, b long"))
 
-    open_ = buckets.withColumn("part", F.col("doc"))
-    while True:
-        # (g^2 - sum of c^2) / 2 pairs of a bucket cross its components
-        sizes = open_.groupBy("bucket", "part").count().groupBy("bucket").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("c"))
-        crossing = sizes.where("g * g > c")
-        cross, rest = crossing.agg(F.coalesce(F.sum((F.col("g") * F.col("g") - F.col("c")) / 2), F.lit(0.0)), F.coalesce(F.sum("g"), F.lit(0))).first()
-        if not cross:
-            break
-        active = open_.join(crossing.select("bucket"), "bucket")
-        if links is not None and cross <= FEW * rest + 1000:
-            other = active.select("bucket", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
-            pairs = active.join(other, "bucket").where((F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits).select(F.col("doc").alias("a"), "b").distinct()
-            links = links.unionByName(check(pairs))
-            break
-        pivots = active.groupBy("bucket").agg(F.min(F.struct("doc", "size", "part")).alias("p")).select("bucket", F.col("p.doc").alias("b"), F.col("p.size").alias("size_b"), F.col("p.part").alias("part_b"))
-        met = cut(active.join(pivots, "bucket").where(F.col("doc") != F.col("b")))
-        new = check(met.where(fits & (F.col("part") != F.col("part_b"))).select(F.col("doc").alias("a"), "b").distinct())
-        links = new if links is None else cut(links.unionByName(new))
-        parts = components(links)
-        open_ = cut(met.select("bucket", "doc", "size").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "size", F.coalesce("root", "doc").alias("part")))
+    pivots = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "size")).alias("p")).select("bucket", F.col("p.doc").alias("b"), F.col("p.size").alias("size_b"))
+    met = buckets.join(pivots, "bucket").where(F.col("doc") != F.col("b"))
+    star = check(met.where(fits).select(F.col("doc").alias("a"), "b").distinct())
+    rest = cut(met.select("bucket", "doc", "size").join(components(star).withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "size", F.coalesce("root", "doc").alias("part")))
+    crossing = rest.groupBy("bucket").agg(F.count("*").alias("g"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket", "g")
+    active = cut(rest.join(crossing, "bucket"))
+    few = active.where(F.col("g") <= SMALL)
+    other = few.select("bucket", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
+    pairs = few.join(other, "bucket").where((F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits).select(F.col("doc").alias("a"), "b").distinct()
+    many = active.where(F.col("g") > SMALL).withColumn("tiles", F.ceil(F.col("g") / TILE)).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
+    tiles = cut(many.join(texts, "doc").groupBy("bucket", "tile", "tiles").agg(F.collect_list(F.struct("doc", "part", "text")).alias("held")))
+    meet = tiles.select("bucket", "tile", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("other"))
+    full = meet.join(tiles.select("bucket", "tile", F.col("held").alias("left")), ["bucket", "tile"]).join(tiles.select("bucket", F.col("tile").alias("other"), F.col("held").alias("right")), ["bucket", "other"])
+    tiled = cut(full.select("left", "right", (F.col("tile") == F.col("other")).alias("same")).mapInArrow(lambda p: _tiled(p, similarity), "a long, b long"))
+    links = star.unionByName(check(pairs)).unionByName(tiled)
     named = classes.select("one", "two", "rep")
-    if links is not None:
-        named = named.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        named = named.withColumn("root", F.col("rep"))
+    named = named.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     full = prints.where("words > 0").join(named, ["one", "two"]).select("doc", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
     alone = prints.where("words = 0").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))
     nobody = d.where("doc is null").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))

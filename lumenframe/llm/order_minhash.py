@@ -23,8 +23,10 @@ WIDE = 4096
 
 
 def labelled(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's k-mers of words, told apart by how manieth occurrence in the text each is: hashes, offsets by text,
-    and the number of words. A text of fewer words is one k-mer, an empty one none."""
+    """Each text's k-mers of words, labelled by how manieth occurrence in the text each is, and the first ones kept:
+    hashes in text order, offsets by text, and the number of words. Similarity is over distinct k-mers, so that a line
+    which two texts repeat a hundred times makes them no more alike than one copy of it. A text of fewer words is one
+    k-mer, an empty one none."""
     hashes, by = word_hashes(data, offsets)
     words = np.diff(by)
     counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
@@ -45,8 +47,10 @@ def labelled(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndar
         sorted_ = own[some][rank]
         first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
         nth = np.arange(len(some)) - np.maximum.accumulate(np.where(first, np.arange(len(some)), 0))
-        with np.errstate(over="ignore"):
-            out[some[rank]] = mixed(out[some[rank]] + nth.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        first_only = np.ones(len(out), dtype=bool)
+        first_only[some[rank[nth > 0]]] = False
+        at = np.concatenate([[0], np.cumsum(first_only)])[at]
+        out = out[first_only]
     return out, at, words
 
 

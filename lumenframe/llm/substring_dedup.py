@@ -111,7 +111,7 @@ def _removed(parts: Iterator[pa.RecordBatch], length: int, with_text: bool) -> I
                     left = b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(ok) + a).tolist()])
                     out.append(left.decode() if with_text else hashlib.sha256(left).hexdigest())
             s = slice(rows.start, rows.stop)
-            columns = {"row": part.column("row")[s], "n_words": pa.array(np.diff(t.by)), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(out, pa.string())}
+            columns = {"row": part.column("row")[s], "rest": part.column("rest")[s], "n_words": pa.array(np.diff(t.by)), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) if k == "n_words" else c for k, c in columns.items()], names=list(columns))
 
 
@@ -123,8 +123,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     goes stays as it is. With with_text false, kept is the SHA-256 of the words that are left joined by a blank.
 
     Null and empty texts have no words and lose none. Rows with a null id lose nothing and make nobody lose anything.
-    Rows with equal ids are no smaller than each other; a repeated row gives a repeated result. Other columns are
-    ignored, an empty table gives no rows.
+    Rows with equal ids are no smaller than each other; a repeated row gives a repeated result. Other columns stay
+    as they are with with_text, else they are left out. An empty table gives no rows.
 
     Level 1 looks at windows of half the length, of each full window the one with the smallest hash. What occurs in one
     document alone is out. Where all documents agree on the words around such a window, the smallest id among them
@@ -132,8 +132,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     third of all documents have is one row by task before it is shuffled, and lists of hashes are lists of one
     document's own.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    known = d.where("doc is not null")
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
+    rest = F.struct(*[F.col(c) for c in others], F.lit(0).alias("__none"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest")).withColumn("mark", F.xxhash64("text"))
+    kind = d.schema["rest"].dataType.simpleString()
+    known = d.where("doc is not null").select("doc", "text", "mark")
     anchors = cut(known.mapInArrow(lambda p: _anchors(p, length), "low long, span long, doc long, mark long"))
     facts = anchors.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b")).where("lo < hi").select("low", "lo", (F.col("a") == F.col("b")).alias("same"))
     found = anchors.join(facts, "low").where("not same or doc > lo")
@@ -145,9 +148,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     none = F.array().cast("array<long>")
     shut = lists.where("size(shut) > 0").select("doc", "mark", "shut")
     known_lists = cut(shut.join(full, ["doc", "mark"], "full"))
-    each = d.join(known_lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", F.coalesce("shut", none).alias("shut"), F.coalesce("full", none).alias("full"))
-    out = each.mapInArrow(lambda p: _removed(p, length, with_text), "row long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("row", id_col)
+    each = d.join(known_lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", F.coalesce("shut", none).alias("shut"), F.coalesce("full", none).alias("full"))
+    out = each.mapInArrow(lambda p: _removed(p, length, with_text), f"row long, rest {kind}, n_words long, n_removed long, kept string")
+    return out.select(F.col("row").alias(id_col), *[F.col(f"rest.{c}").alias(c) for c in others], "n_words", "n_removed", "kept")
 
 
 def op9_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

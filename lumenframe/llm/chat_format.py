@@ -81,7 +81,7 @@ SELECT pair_id, chosen_id, rejected_id, CAST(k AS INTEGER) AS n_common,
   coalesce(array_to_string({_TURNS.format("a[:k]")}, ''), '') AS prompt,
   coalesce(array_to_string({_TURNS.format("ra")}, ''), '') AS chosen_completion,
   coalesce(array_to_string({_TURNS.format("rb")}, ''), '') AS rejected_completion,
-  coalesce(array_to_string(list_transform(list_filter(range(1, len(ra) + 1), lambda i: ra[i].role = 'assistant'), i -> CAST(sa[i] AS BIGINT) || '-' || CAST(sa[i] + len(ra[i].text) AS BIGINT)), ','), '') AS chosen_mask,
-  coalesce(array_to_string(list_transform(list_filter(range(1, len(rb) + 1), lambda i: rb[i].role = 'assistant'), i -> CAST(sb[i] AS BIGINT) || '-' || CAST(sb[i] + len(rb[i].text) AS BIGINT)), ','), '') AS rejected_mask
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(ra) + 1), lambda i: ra[i].role = 'assistant'), lambda i: CAST(sa[i] AS BIGINT) || '-' || CAST(sa[i] + len(ra[i].text) AS BIGINT)), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(rb) + 1), lambda i: rb[i].role = 'assistant'), lambda i: CAST(sb[i] AS BIGINT) || '-' || CAST(sb[i] + len(rb[i].text) AS BIGINT)), ','), '') AS rejected_mask
 FROM m
 """

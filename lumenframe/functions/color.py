@@ -78,9 +78,9 @@ def luminance(c: Vector) -> str:
 
 def srgb_to_linear(x: str) -> str:
     """A display value as linear light."""
-    return f"(CASE WHEN {x} < 0.04045 THEN greatest({x}, 0.0) * (1.0 / 12.92) ELSE power(({x} + 0.055) * (1.0 / 1.055), 2.4) END)"
+    return f"(CASE WHEN {x} < 0.04045 THEN greatest({x}, 0.0) / 12.92 ELSE power(({x} + 0.055) / 1.055, 2.4) END)"
 
 
 def linear_to_srgb(x: str) -> str:
     """Linear light as a display value."""
-    return f"(CASE WHEN {x} < 0.0031308 THEN greatest({x}, 0.0) * 12.92 ELSE 1.055 * power({x}, 1.0 / 2.4) - 0.055 END)"
+    return f"(CASE WHEN {x} < 0.0031308 THEN greatest({x}, 0.0) * 12.92 ELSE 1.055 * power({x}, 0.4166666666666667) - 0.055 END)"

@@ -40,7 +40,7 @@ def pingpong(a: str, b: str) -> str:
 def smooth_min(a: str, b: str, c: str) -> str:
     """The minimum, rounded off where a and b are nearer than c."""
     h = f"(greatest({c} - abs({a} - {b}), 0.0) / {c})"
-    return f"(CASE WHEN {c} <> 0 THEN least({a}, {b}) - {h} * {h} * {h} * {c} * (1.0 / 6.0) ELSE least({a}, {b}) END)"
+    return f"(CASE WHEN {c} <> 0 THEN least({a}, {b}) - {h} * {h} * {h} * {c} / 6.0 ELSE least({a}, {b}) END)"
 
 
 def clamp(x: str, low: str = "0.0", high: str = "1.0") -> str:

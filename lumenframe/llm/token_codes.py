@@ -20,7 +20,7 @@ RANK_BLOCK = 512
 #: Ids after which a segment is closed; one document never spans segments.
 SEGMENT = 1 << 20
 #: Most words that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
-CACHE = 250_000
+CACHE = 500_000
 
 
 class DirectlyAddressable:

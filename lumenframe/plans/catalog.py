@@ -26,7 +26,7 @@ T = "(l_quantity / 60.0)"
 
 def _round(x: str, name: str) -> str:
     # moved off the decimals that inputs can have, where either engine may round up or down
-    return f"round(CAST({x} AS DOUBLE) + 0.0000137, 4) + 0.0 AS {name}"
+    return f"round(CAST({x} AS DOUBLE) + 0.0000137291, 4) + 0.0 AS {name}"
 
 
 def _family(columns: dict[str, str]) -> str:

@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing", mixture), ("byte BPE", tokens)]
 
-#: Alignment of k-mers, tokenizing and hashed order are beyond SQL; tests/llm holds the stages against brute force.
+#: Alignment of k-mers, tokenizing and hashed order are beyond SQL; tests/llm holds the stages' operators against brute force.
 ORACLE_SQL = None
 
 

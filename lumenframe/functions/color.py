@@ -71,6 +71,76 @@ def hsv_to_rgb(c: Vector) -> Vector:
     return part("5.0"), part("3.0"), part("1.0")
 
 
+def rgb_to_hsl(c: Vector) -> Vector:
+    """Hue, saturation and lightness; a grey has hue and saturation 0."""
+    high, low = f"greatest({c[0]}, {c[1]}, {c[2]})", f"least({c[0]}, {c[1]}, {c[2]})"
+    light = f"least(1.0, ({high} + {low}) / 2.0)"
+    room = f"(CASE WHEN {light} > 0.5 THEN 2.0 - {high} - {low} ELSE {high} + {low} END)"
+    return rgb_to_hsv(c)[0], divide(f"({high} - {low})", room), light
+
+
+def hsl_to_rgb(c: Vector) -> Vector:
+    """The colour of hue, saturation and lightness."""
+    h, s, light = c
+    chroma = f"((1.0 - abs(2.0 * {light} - 1.0)) * {s})"
+    shares = (f"abs({h} * 6.0 - 3.0) - 1.0", f"2.0 - abs({h} * 6.0 - 2.0)", f"2.0 - abs({h} * 6.0 - 4.0)")
+    r, g, b = (f"(({clamp(x)} - 0.5) * {chroma} + {light})" for x in shares)
+    return r, g, b
+
+
+def xyy_to_xyz(x: str, y: str, luma: str) -> Vector:
+    """Chromaticity and luminance as tristimulus values; X and Z are 0 where y is 0."""
+    return f"({divide(x, y)} * {luma})", luma, f"({divide(f'(1.0 - {x} - {y})', y)} * {luma})"
+
+
+def bright_contrast(c: Vector, bright: str, contrast: str) -> Vector:
+    """Channels spread about the middle by contrast, moved by brightness and held above 0."""
+    r, g, b = (f"greatest((1.0 + {contrast}) * {x} + {bright} - {contrast} * 0.5, 0.0)" for x in c)
+    return r, g, b
+
+
+def gamma(c: Vector, exponent: str) -> Vector:
+    """Positive channels to the power of the exponent; all white where it is 0."""
+    r, g, b = (f"(CASE WHEN {exponent} = 0 THEN 1.0 WHEN {x} > 0 THEN power({x}, {exponent}) ELSE {x} END)" for x in c)
+    return r, g, b
+
+
+def invert(c: Vector, factor: str) -> Vector:
+    """From the colour to its complement."""
+    r, g, b = (lerp(x, f"(1.0 - {x})", factor) for x in c)
+    return r, g, b
+
+
+def adjust_hsv(c: Vector, hue: str, saturation: str, value: str, factor: str, hsv: Vector | None = None) -> Vector:
+    """Hue turned by hue + 0.5, saturation and value multiplied, and the result blended in, held above 0.
+
+    hsv names the colour's own hue, saturation and value where an earlier select has them.
+    """
+    h, s, v = hsv or rgb_to_hsv(c)
+    turned = f"({h} + {hue} + 0.5)"
+    new = hsv_to_rgb((f"({turned} - floor({turned}))", clamp(f"({s} * {saturation})"), f"({v} * {value})"))
+    r, g, b = (f"greatest({lerp(x, y, factor)}, 0.0)" for x, y in zip(c, new, strict=True))
+    return r, g, b
+
+
+def mix_hsv(op: str, a: Vector, b: Vector, t: str, hsv_a: Vector | None = None, hsv_b: Vector | None = None) -> Vector:
+    """The mixes by hue, saturation, value or colour (hue and saturation). Greys give and take no hue.
+
+    hsv_a and hsv_b name the colours' own hue, saturation and value where an earlier select has them.
+    """
+    t = clamp(t)
+    (ha, sa, va), (hb, sb, vb) = hsv_a or rgb_to_hsv(a), hsv_b or rgb_to_hsv(b)
+    if op == "value":
+        return hsv_to_rgb((ha, sa, lerp(va, vb, t)))
+    if op == "saturation":
+        new, tinted = hsv_to_rgb((ha, lerp(sa, sb, t), va)), sa
+    else:
+        new, tinted = hsv_to_rgb((hb, sa if op == "hue" else sb, va)), sb
+        new = each(lambda x, y: lerp(x, y, t), a, new)
+    r, g, b_ = (f"(CASE WHEN {tinted} <> 0 THEN {y} ELSE {x} END)" for x, y in zip(a, new, strict=True))
+    return r, g, b_
+
+
 def luminance(c: Vector) -> str:
     """Relative luminance by the weights of linear sRGB primaries."""
     return f"(0.2126729 * {c[0]} + 0.7151522 * {c[1]} + 0.0721750 * {c[2]})"

@@ -8,8 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions import color, scalar, vector
-from lumenframe.operators import film, spatial
+from lumenframe.functions import color, hashing, scalar, texture, vector
+from lumenframe.operators import distribution, film, graph, spatial
 from lumenframe.streaming import progressive
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -33,6 +33,30 @@ def _family(columns: dict[str, str]) -> str:
     return f"SELECT {KEYS}, " + ", ".join(_round(x, n) for n, x in columns.items()) + " FROM lineitem"
 
 
+def _hsv_family(name: str, v: vector.Vector) -> str:
+    # hue, saturation and value in a select of their own: one expression with all would outgrow a method's 64 KB
+    steps = [(f"{c}_{k}", f"CAST({x} AS DOUBLE)") for c, colour in (("a", CA), ("b", CB)) for k, x in zip("rgb", colour, strict=True)] + [("t", T)]
+    steps += [(f"{c}_{k}", x) for c in "ab" for k, x in zip("hsv", color.rgb_to_hsv((f"{c}_r", f"{c}_g", f"{c}_b")), strict=True)]
+    columns = ", ".join(_round(x, f"{name}_{k}") for k, x in zip("rgb", v, strict=True))
+    return f"SELECT {KEYS}, {columns} FROM ({hashing.staged('lineitem', KEYS + ', l_discount, l_tax', steps)}) AS h"
+
+
+NAMED = tuple(tuple(f"{c}_{k}" for k in ks) for c in "ab" for ks in ("rgb", "hsv"))
+
+
+def _hashes(steps: hashing.Steps, *names: str) -> str:
+    return f"SELECT o_orderkey, {', '.join(names)} FROM ({hashing.staged('orders', 'o_orderkey, o_custkey', steps)}) AS h"
+
+
+def _spread(name: str, x: str) -> hashing.Steps:
+    # 16 bits with a gap before each
+    steps, at = [(f"{name}_0", f"({x} & 65535)")], f"{name}_0"
+    for i, (gap, mask) in enumerate(((256, 0x00FF00FF), (16, 0x0F0F0F0F), (4, 0x33333333), (2, 0x55555555)), 1):
+        steps.append((name if i == 4 else f"{name}_{i}", f"(({at} | {at} * {gap}) & {mask})"))
+        at = f"{name}_{i}"
+    return steps
+
+
 def _vectors(op: str) -> dict[str, str]:
     return {f"{op}_{k}": x for k, x in zip("xyz", vector.vector_math(op, VA, VB, VC, "0.8"), strict=True)}
 
@@ -52,6 +76,19 @@ SHARED = {
     **{f"mix_{op}": _family(_channels(op, color.mix(op, CA, CB, T))) for op in color.CHANNEL},
     "color_hsv": _family(_channels("hsv", color.rgb_to_hsv(CA)) | _channels("back", color.hsv_to_rgb((CA[0], CA[1], CA[2])))),
     "color_light": _family({"luminance": color.luminance(CA), "linear": color.srgb_to_linear(CA[0]), "display": color.linear_to_srgb(CA[1])}),
+    **{f"mix_{op}": _hsv_family(op, color.mix_hsv(op, NAMED[0], NAMED[2], "t", NAMED[1], NAMED[3])) for op in ("hue", "saturation", "value", "colour")},
+    "color_hsl": _family(_channels("hsl", color.rgb_to_hsl(CA)) | _channels("back", color.hsl_to_rgb(CA))),
+    "color_adjust": _family(_channels("contrast", color.bright_contrast(CA, "0.1", "0.3")) | _channels("gamma", color.gamma(CA, "1.7")) | _channels("inverse", color.invert(CA, T)) | _channels("xyz", color.xyy_to_xyz(*CA))),
+    "color_adjust_hsv": _hsv_family("hsv", color.adjust_hsv(NAMED[0], "0.17", "1.2", "0.9", "t", NAMED[1])),
+    "tex_wave": _family({f"{shape}_{d}_{profile}": texture.wave(VA, shape == "rings", d, profile, "0.3") for shape in ("bands", "rings") for d in ("x", "y", "z", "all") for profile in ("sin", "saw", "tri")}),
+    "tex_brick": _family({"mortar": texture.brick_mortar(A, f"({B} + 0.0317)"), "hard": texture.brick_mortar(A, f"({B} + 0.0317)", soft="0.0", squash="0.7", every=3), "stacked": texture.brick_mortar(A, f"({B} + 0.0317)", every=0)}),
+    "hash_jenkins": _hashes(hashing.jenkins("one", "o_orderkey") + hashing.jenkins("two", "o_orderkey", "o_custkey") + hashing.jenkins("three", "o_orderkey", "o_custkey", "17"), "one", "two", "three"),
+    "hash_pcg": _hashes(hashing.pcg2d("pcg", "o_orderkey", "o_custkey"), "pcg_x", "pcg_y"),
+    "hash_prospector": _hashes(hashing.prospector("mixed", "o_orderkey"), "mixed"),
+    "hash_wang": _hashes(hashing.wang("mixed", "o_orderkey", 12345), "mixed"),
+    "hash_lattice": _hashes(hashing.lattice("mixed", "o_orderkey", "o_custkey"), "mixed"),
+    "tex_white_noise": "SELECT o_orderkey, round(CAST(noise_1 AS DOUBLE) / CAST(4294967295 AS DOUBLE), 6) AS one, round(CAST(noise_2 AS DOUBLE) / CAST(4294967295 AS DOUBLE), 6) AS two FROM (" + hashing.staged("orders", "o_orderkey, o_custkey", hashing.jenkins("noise_1", "o_orderkey") + hashing.jenkins("noise_2", "o_orderkey", "o_custkey")) + ") AS h",
+    "morton": "SELECT o_orderkey, o_custkey, z_x + 2 * z_y AS place FROM (" + hashing.staged("orders", "o_orderkey, o_custkey", _spread("z_x", "o_orderkey") + _spread("z_y", "o_custkey")) + ") AS m",
     "tex_checker": _family({"checker": f"CASE WHEN (abs(CAST(floor({A} * 4.0 + 0.0001) AS BIGINT)) % 2 + abs(CAST(floor({B} * 4.0 + 0.0001) AS BIGINT)) % 2 + abs(CAST(floor({C} * 4.0 + 0.0001) AS BIGINT)) % 2) % 2 = 1 THEN 1.0 ELSE 0.0 END"}),
     "tex_gradient": _family({"linear": A, "quadratic": f"greatest({A}, 0.0) * greatest({A}, 0.0)", "easing": f"{scalar.clamp(A)} * {scalar.clamp(A)} * (3.0 - 2.0 * {scalar.clamp(A)})", "diagonal": f"({A} + {B}) * 0.5", "radial": f"atan2({B}, {A}) / 6.283185307179586 + 0.5", "sphere": f"greatest(0.999999 - {vector.length(VA)}, 0.0)"}),
     "film_pass_routing": "SELECT l_suppkey, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 1000 ELSE 0 END), 3) AS direct, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1000 ELSE 0 END), 3) AS indirect FROM lineitem GROUP BY l_suppkey",
@@ -62,7 +99,19 @@ SHARED = {
     "sort_bucket": "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders",
     "bounds": "SELECT p_brand, min(p_size) AS lo_size, max(p_size) AS hi_size, min(p_retailprice) AS lo_price, max(p_retailprice) AS hi_price, count(*) AS n FROM part GROUP BY p_brand",
     "aabb_overlap": "SELECT a.p_partkey AS part, b.s_suppkey AS supplier FROM part a JOIN supplier b ON a.p_size = b.s_suppkey % 50 AND a.p_retailprice BETWEEN b.s_acctbal - 500 AND b.s_acctbal + 500",
-    "reach_closure": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "reach_closure": "WITH RECURSIVE reach AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_nationkey AS BIGINT) AS needs FROM nation UNION ALL SELECT node, CAST(floor(needs / 2.0) AS BIGINT) AS needs FROM reach WHERE needs > 0) SELECT node, needs FROM reach",
+    "node_dedup": "SELECT p_type, p_size, min(p_partkey) AS node, count(*) AS merged FROM part GROUP BY p_type, p_size",
+    "attribute_union": "SELECT p_brand AS name FROM part WHERE p_size < 10 UNION SELECT p_brand AS name FROM part WHERE p_size > 40",
+    "dependency_intersection": "SELECT p_type AS name FROM part WHERE p_size < 10 INTERSECT SELECT p_type AS name FROM part WHERE p_size > 40",
+    "film_finalise": "SELECT l_suppkey, n, round(r / n, 4) AS combined, CASE WHEN d = 0 THEN 10000000000.0 ELSE CAST(d AS DOUBLE) END AS depth, round(least(greatest(1.0 - m / n, 0.0), 1.0), 4) AS mist, round(exp(-v / n), 4) AS majorant, round(CASE WHEN w > 0 THEN u / w ELSE 0.0 END, 4) AS motion FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 1000) AS r, min(l_quantity - 1) AS d, sum(l_tax) AS m, sum(l_discount) AS v, sum(l_quantity * l_tax) AS u, sum(l_quantity) AS w FROM lineitem GROUP BY l_suppkey) AS f",
+    "half_buffer_error": "SELECT l_suppkey, n, round(abs(a - h) / n / sqrt(greatest(a / n, 0.0001)), 4) AS error FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 1000) AS a, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_extendedprice / 1000 ELSE 0.0 END) AS h FROM lineitem GROUP BY l_suppkey) AS f",
+    "extrema_grid": "SELECT cell, lo, hi, n, CAST((hi - lo) * 0.0002 > 1.442 AS INTEGER) AS splits FROM (SELECT o_custkey % 64 AS cell, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders GROUP BY o_custkey % 64) AS g",
+    "sah_bins": "SELECT bin, n, lo, hi, CAST(sum(n) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_left, CAST(sum(n) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_right, max(hi) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS hi_left FROM (SELECT bin, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM (SELECT p_size, CAST(floor((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) + 0.001 FROM part) * 32.0) AS BIGINT) AS bin FROM part) AS b GROUP BY bin) AS h",
+    "named_stats": "SELECT event_type AS name, count(*) AS entries, round(sum(value), 3) AS total, round(avg(value), 4) AS mean FROM events GROUP BY event_type",
+    "dilate_y": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)) SELECT user_id, h, n, min(n) OVER (PARTITION BY h ORDER BY user_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM g",
+    "light_links": "SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) * CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 4 END) AS links FROM lineitem GROUP BY l_suppkey",
+    "time_format": "SELECT doc_id, CASE WHEN c >= 360000 THEN concat(lpad(CAST(CAST(floor(c / 360000.0) AS BIGINT) AS STRING), 2, '0'), ':') ELSE '' END || concat(lpad(CAST(CAST(floor(c / 6000.0) AS BIGINT) % 60 AS STRING), 2, '0'), ':', lpad(CAST(CAST(floor(c / 100.0) AS BIGINT) % 60 AS STRING), 2, '0'), '.', lpad(CAST(c % 100 AS STRING), 2, '0')) AS clock FROM (SELECT doc_id, n_chars * 137 AS c FROM documents) AS d",
+    "str_sizes": "SELECT doc_id, CASE WHEN b < 1024 THEN concat(CAST(b AS STRING), ' B') ELSE concat(CAST(CAST(floor(b * 100 / 1024.0) AS BIGINT) AS STRING), ' K/100') END AS size, CAST(lower(lang) = 'en' AS INTEGER) AS english, trim(substr(text, 1, 20)) AS stripped, CAST(substr(text, 1, 1) = 'T' AS INTEGER) AS starts FROM (SELECT doc_id, text, lang, n_chars AS b FROM documents) AS d",
     "any_hit": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
     "no_hit": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "visibility_mask": "SELECT o_orderkey, CAST(o_orderkey & 255 AS BIGINT) AS mask FROM orders WHERE (o_orderkey & 6) <> 0",
@@ -78,7 +127,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query of SHARED; its tables are named in arguments, so sessions keep no views."""
-    return spark.sql("WITH " + ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if f" {t}" in sql) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql))
+    kind = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    return spark.sql(kind + ", ".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if f" {t}" in sql) + (", " + sql[len(kind) :] if sql.startswith("WITH ") else " " + sql))
 
 
 def film_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +172,67 @@ def all_hits_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.first_hits(_hits(spark, sf_dir), 3).withColumn("t", F.round("t", 5))
 
 
+#: Keys of one range of a running total.
+RANGE = 1_000_000
+
+
+def _lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weight = F.greatest(F.round(F.col("s_acctbal") * 100), F.lit(0)).cast("long") + 1
+    return distribution.cdf(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", weight, RANGE).drop("s_acctbal")
+
+
+def cdf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' ranges in the running total of their balances in cents."""
+    return _lights(spark, sf_dir)
+
+
+def cdf_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier that each order's place in the running total falls on."""
+    lights = _lights(spark, sf_dir)
+    total, n = lights.agg(F.max("hi"), F.count("*")).first()
+    points = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey") * 7919, F.lit(total or 1)).alias("place"))
+    return distribution.pick(points, "place", lights, F.lit((total or 1) / max(n, 1))).select("o_orderkey", "place", "s_suppkey")
+
+
+def active_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders, numbered without gaps."""
+    return distribution.compact(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", F.col("o_orderstatus") == "O", RANGE).select("o_orderkey", "index")
+
+
+def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before each order, the number of lines of all orders with smaller keys."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return distribution.running(lines, "l_orderkey", F.col("n"), RANGE)
+
+
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of customers, each linked with a few others."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), "c_nationkey")
+    edges = c.where("node % 3 <> 0").select(F.col("node").alias("a"), F.floor(F.col("node") / 7).alias("b")).join(c.select(F.col("node").alias("b")), "b")
+    return graph.islands(c.select("node"), edges)
+
+
+def hash_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multiply-add hash of part names."""
+    mixed = "aggregate(split(p_name, ''), CAST(0 AS BIGINT), (a, c) -> (a * 37 + ascii(c)) & 4294967295)"
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(mixed).alias("mixed"))
+
+
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream."""
     return progressive.accumulate(spark, f"{sf_dir}/events.parquet", "stream_accumulate")
 
 
-NATIVE = (film_accumulate, merge_partials, converged_mask, matte_topk, nearest_hit, all_hits_n, stream_accumulate)
+NATIVE = (cdf_build, cdf_pick, active_index, prefix_sum, islands, hash_string, film_accumulate, merge_partials, converged_mask, matte_topk, nearest_hit, all_hits_n, stream_accumulate)
 _CAST = "SELECT ray, sphere, t FROM (SELECT ray, sphere, CASE WHEN sz - z - h > 0 THEN sz - z - h ELSE sz - z + h END AS t FROM (SELECT *, sqrt(greatest(q, 0)) AS h FROM (SELECT *, r * r - (x - sx) * (x - sx) - (y - sy) * (y - sy) AS q FROM (SELECT c_custkey AS ray, (c_custkey % 97) / 10 AS x, (c_custkey % 89) / 10 AS y, -5.0::DOUBLE AS z FROM customer) a CROSS JOIN (SELECT s_suppkey AS sphere, (s_suppkey % 83) / 8 AS sx, (s_suppkey % 79) / 8 AS sy, (s_suppkey % 7)::DOUBLE AS sz, 0.77::DOUBLE AS r FROM supplier) b) WHERE q >= 0)) WHERE t > 0"
+_LIGHTS = "SELECT s_suppkey, CAST(coalesce(sum(w) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo, CAST(sum(w) OVER (ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM (SELECT s_suppkey, CAST(greatest(round(s_acctbal * 100), 0) AS BIGINT) + 1 AS w FROM supplier) AS s"
 SQL = {
+    "cdf_build": _LIGHTS,
+    "cdf_pick": f"WITH c AS ({_LIGHTS}), p AS (SELECT o_orderkey, o_orderkey * 7919 % (SELECT max(hi) FROM c) AS place FROM orders) SELECT o_orderkey, place, s_suppkey FROM p JOIN c ON place >= lo AND place < hi",
+    "active_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders WHERE o_orderstatus = 'O'",
+    "prefix_sum": "SELECT l_orderkey, n, CAST(coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) AS s",
+    "islands": "WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(floor(c_custkey / 7) AS BIGINT) AS b FROM customer WHERE c_custkey % 3 <> 0 AND floor(c_custkey / 7) IN (SELECT c_custkey FROM customer)), r AS (SELECT c_custkey AS node, c_custkey AS up FROM customer UNION SELECT node, b AS up FROM r JOIN e ON up = a) SELECT node, min(up) AS island FROM r GROUP BY node",
+    "hash_string": "SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 37 + c) & 4294967295) AS mixed FROM part",
     "film_accumulate": f"SELECT l_suppkey, count(*) AS n, round(sum(l_extendedprice / 1000) / count(*), 4) AS r, round(sum(l_discount) / count(*), 4) AS g, round(sum(l_tax) / count(*), 4) AS b, arg_min(l_quantity, ROW({', '.join(ORDER)})) AS depth FROM lineitem GROUP BY l_suppkey",
     "merge_partials": "SELECT l_suppkey, count(*) AS n, round(avg(l_discount), 5) AS m FROM lineitem GROUP BY l_suppkey",
     "converged_mask": "SELECT l_suppkey, CASE WHEN abs(a - h) / sqrt(greatest(a, 0.0001)) < 0.005 THEN 1 ELSE 0 END AS done FROM (SELECT l_suppkey, avg(l_discount) AS a, avg(CASE WHEN l_linenumber % 2 = 1 THEN l_discount END) AS h FROM lineitem GROUP BY l_suppkey)",

@@ -12,17 +12,17 @@ from lumenframe.llm.common import SPACES, cut, words
 
 #: Frequent function words by language. A histogram has one bin for each distinct word and one for all others.
 COMMON = {
-    "en": "the of and to in a is that it for was on".split(),
-    "fr": "le la de et les des en un une du que est".split(),
-    "de": "der die und in den von zu das mit sich des auf".split(),
-    "es": "de la que el en y a los se del las un".split(),
+    "en": "the of and to in a is that it for was on are as with his they at be this from by or had an not".split(),
+    "fr": "le la de et les des en un une du que est pour qui dans par sur pas au il elle ce ne se plus".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
 #: Character classes, in the order in which they are taken out of a text; what is left is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"[\s\p{Z}]+", r"[.,;:!?'\"()\-]+")
 #: Distances (0: the same, 1: nothing in common) above which a histogram is not that of prose.
-MOST_CHARS, MOST_WORDS = 0.33, 0.55
+MOST_CHARS, MOST_WORDS = 0.28, 0.55
 #: Texts under these lengths have no histogram worth comparing.
 LEAST_CHARS, LEAST_WORDS = 200, 40
 
@@ -53,12 +53,13 @@ def features(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         F.coalesce(F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(8), F.coalesce(F.get(p, k + 1) - x, F.lit(8)))), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
     ).drop("__p")
-    # the common words, each between blanks of its own, so that taking a word out shortens the text by its count
-    d = d.withColumn("__c", F.filter(w, lambda x: x.isin(WORDS))).drop("__w")
-    d = d.withColumn("__n", F.size("__c")).withColumn("__c", F.concat(F.lit(" "), F.array_join("__c", "  "), F.lit(" ")))
-    size = F.octet_length("__c")
-    counts = [((size - F.octet_length(F.replace(F.col("__c"), F.lit(f" {x} "), F.lit("")))) / (len(x.encode()) + 2)).cast("long") for x in WORDS]
-    d = d.withColumn("word_bins", F.array(*counts, n - F.col("__n"))).drop("__c", "__n")
+    # the common words in order with one more of each, so that every word has a run and the runs' lengths are the counts
+    d = d.withColumn("__c", F.filter(w, lambda x: x.isin(WORDS))).drop("__w").withColumn("__n", F.size("__c"))
+    d = d.withColumn("__c", F.sort_array(F.concat("__c", F.array(*[F.lit(x) for x in WORDS]))))
+    c, a = F.col("__c"), F.col("__a")
+    d = d.withColumn("__a", F.array_compact(F.transform(c, lambda x, i: F.when((i == 0) | (x != F.get(c, i - 1)), i))))
+    counts = F.transform(a, lambda x, k: (F.coalesce(F.get(a, k + 1), F.col("__n") + len(WORDS)) - x - 1).cast("long"))
+    d = d.withColumn("word_bins", F.concat(counts, F.array(n - F.col("__n")))).drop("__c", "__a", "__n")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__l", lines).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).drop("__l")
     d = d.withColumn("word_chars", (F.length(t) - (F.octet_length(t) - F.octet_length(_without(t, SPACES)))).cast("long"))

@@ -21,8 +21,11 @@ WORDS = sorted({w for ws in COMMON.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
 #: Character classes, in the order in which they are taken out of a text; what is left is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"[\s\p{Z}]+", r"[.,;:!?'\"()\-]+")
-#: Distances (0: the same, 1: nothing in common) above which a histogram is not that of prose.
-MOST_CHARS, MOST_WORDS = 0.28, 0.55
+#: Distance (0: the same, 1: nothing in common) above which a character histogram is not that of prose.
+MOST_CHARS = 0.28
+#: The same for words, as a part of the distance that a text without any common word has from the same reference. A text
+#: without any is at 1 from each reference, and only texts with far too many of some words are beyond.
+MOST_WORDS = 0.95
 #: Texts under these lengths have no histogram worth comparing.
 LEAST_CHARS, LEAST_WORDS = 200, 40
 
@@ -79,16 +82,24 @@ def _shares(bins: Column) -> Column:
     return F.transform(bins, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
-def _distance(p: Column, q: list[float]) -> Column:
+def _distance(p: Column, q: Column | list[float]) -> Column:
     """Jensen-Shannon distance to base 2, from 0 to 1."""
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(p, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: part(a, b) + part(b, a))
+    q = q if isinstance(q, Column) else F.array(*[F.lit(float(x)) for x in q])
+    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / (2 * math.log(2))))
 
 
+def _empty_distance(q: list[float]) -> float:
+    """The distance of a text without any common word from a word histogram."""
+    a = q[-1]
+    terms = sum(x * math.log(2) for x in q[:-1]) + math.log(2 / (1 + a)) + (a * math.log(2 * a / (1 + a)) if a > 0 else 0.0)
+    return math.sqrt(max(0.0, terms / (2 * math.log(2))))
+
+
 def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     """The histograms of all texts of each supported language that pass the base rules and length guards.
 
@@ -114,9 +125,10 @@ def references(found: DataFrame) -> list[tuple[str, list[float], list[float]]]:
 def judge(docs: DataFrame) -> DataFrame:
     """docs (without text) with the base counts, base_failed, the two distances and kept.
 
-    kept is false if base_failed, or if the text is long enough and its character histogram or its common-word
-    histogram lies further from every language's reference than MOST_CHARS or MOST_WORDS. Comparing with all languages
-    spares clean texts with a wrong or missing lang. Null and empty texts have no words and fail the base rules. Other
+    kept is false if base_failed, or if the text is long enough and its character histogram lies further than MOST_CHARS
+    from every language's reference, or its common-word histogram further than MOST_WORDS of what a text without common
+    words does. Comparing with all languages spares clean texts with a wrong or missing lang; long texts in languages
+    without a reference have no common words and go. References without common words do not decide. Null and empty texts have no words and fail the base rules. Other
     columns stay as they are, and every row is kept and judged by itself, repeated ones too. An empty table gives no
     rows; without any reference only the base rules decide. Columns named like the results are an error.
     """
@@ -126,10 +138,19 @@ def judge(docs: DataFrame) -> DataFrame:
     refs = references(found)
     d = found.withColumn("__c", _shares(F.col("char_bins"))).withColumn("__w", _shares(F.col("word_bins")))
     nearest = lambda c, k: reduce(F.least, [_distance(F.col(c), r[k]) for r in refs] + [F.lit(1.0)]) if refs else F.lit(0.0)
-    d = d.withColumn("char_distance", nearest("__c", 1)).withColumn("word_distance", nearest("__w", 2)).drop("__c", "__w")
+    d = d.withColumn("char_distance", nearest("__c", 1))
+    # one lambda over all references: an array of distances would be taken apart and each distance computed for every use
+    known = [F.struct(F.array(*[F.lit(float(x)) for x in r[2]]).alias("q"), F.lit(_empty_distance(r[2])).alias("e")) for r in refs]
+    if refs:
+        d = d.withColumn("__d", F.transform(F.array(*known), lambda r: F.struct(_distance(F.col("__w"), r["q"]).alias("d"), r["e"].alias("e"))))
+        d = d.withColumn("word_distance", F.least(F.array_min(F.transform("__d", lambda x: x["d"])), F.lit(1.0)))
+        d = d.withColumn("__far", F.coalesce(F.array_min(F.transform("__d", lambda x: F.when(x["e"] > 0, x["d"] / x["e"]))), F.lit(0.0))).drop("__d")
+    else:
+        d = d.withColumn("word_distance", F.lit(0.0)).withColumn("__far", F.lit(0.0))
+    d = d.drop("__c", "__w")
     chars = F.aggregate("char_bins", F.lit(0).cast("long"), lambda a, x: a + x)
-    odd = ((chars >= LEAST_CHARS) & (F.col("char_distance") > MOST_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MOST_WORDS))
-    return d.withColumn("kept", ~F.col("base_failed") & ~odd)
+    odd = ((chars >= LEAST_CHARS) & (F.col("char_distance") > MOST_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("__far") > MOST_WORDS))
+    return d.withColumn("kept", ~F.col("base_failed") & ~odd).drop("__far")
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,3 +29,13 @@ def test_all_common_words_are_counted(spark):
         assert got[i]["word_bins"] == [*counts, len(w) - sum(counts)]
     assert 0.28 < got[23]["char_distance"] < 0.33 and not got[23]["base_failed"] and not got[23]["kept"]
     assert all(got[i]["kept"] for i in range(20))
+
+
+def test_texts_without_common_words_go(spark):
+    texts = [prose(150, i, 0.15 + 0.01 * i) for i in range(20)] + [prose(300, 50, 0), " | ".join(prose(300, 51, 0).split()), prose(30, 52, 0), None]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
+    assert not any(got[i]["base_failed"] for i in range(23))
+    assert {i for i, r in got.items() if r["kept"]} == {*range(20), 22}
+    # where no text has common words there is nothing to hold texts against
+    assert all(r["kept"] for r in quality_rules.judge(d.where("doc_id in (20, 22)")).collect())

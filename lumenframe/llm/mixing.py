@@ -69,8 +69,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """docs with size, source_size, target and taken: how many of its words, repeats counted, the mix takes.
 
     docs needs doc_id, source and size. A source's documents are put in a shuffled order (by hash, so reruns agree)
-    and their words cut into blocks of equal size; slot of rank r takes block r, and starts over after the last one,
-    at most `most` times. Blocks shrink with the input so that a mix has some thousand slots at least. Equal rows may
+    and their words cut into equal blocks of about one slot's words, one block at least; slot of rank r takes block r,
+    and starts over after the last one. Slots that would pass the source's target are left out, and the words that are
+    missing after the last one are a shorter block of their own, so that a source of any size gives its target, rounded.
+    Blocks shrink with the input so that a mix has some thousand slots at least. Equal rows may
     swap places in the order. Documents without words take part with 0. Null sources are a source of their own. Empty
     tables give no rows. Further columns stay as they are.
     """
@@ -92,19 +94,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     d = d.join(F.broadcast(names) if n <= 10_000 else names, d["source"].eqNullSafe(F.col("__name"))).drop("__name")
     d = d.join(starts, d["source"].eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__bucket"))).drop("__source", "__bucket")
     d = cut(d.withColumn("__s", F.col("__s") + F.col("__i")))
-    blocks = F.ceil(F.col("source_size") / block)
-    uses = (
-        schedule(t, block, slots)
-        .join(F.broadcast(t.select("source_no", blocks.alias("blocks"))) if n <= 10_000 else t.select("source_no", blocks.alias("blocks")), "source_no")
-        .where(F.col("rank") < F.col("blocks") * most)
-        .groupBy("source_no", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("uses"))
-    )
-    end = F.col("__s") + F.col("size")
-    pieces = d.where("size > 0").select("source_no", "__b", "__r", "__s", end.alias("__e"), F.explode(F.sequence(F.floor(F.col("__s") / block), F.floor((end - 1) / block))).alias("block"))
-    held = F.least("__e", (F.col("block") + 1) * block) - F.greatest("__s", F.col("block") * block)
-    taken = pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "__b", "__r").agg(F.sum(held * F.col("uses")).alias("taken"))
-    out = d.join(taken, ["source_no", "__b", "__r"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    small = lambda x: F.broadcast(x) if n <= 10_000 else x
+    parts = t.where("source_size > 0").select("source_no", F.col("source_size").alias("__size"), F.round("target").cast("long").alias("__goal"), F.greatest(F.lit(1), F.round(F.col("source_size") / block)).cast("long").alias("__n"))
+    # a source's first __long blocks have a word more than the others
+    parts = parts.withColumn("__base", F.expr("__size div __n")).withColumn("__long", F.expr("__size % __n"))
+    parts = cut(parts)
+    slot = schedule(t, block, slots).join(small(parts), "source_no").withColumn("block", F.col("rank") % F.col("__n"))
+    slot = slot.withColumn("__end", F.expr("(rank div __n) * __size + (block + 1) * __base + least(block + 1, __long)")).where("__end <= __goal")
+    uses = cut(slot.groupBy("source_no", "block").agg(F.count("*").alias("uses"), F.max("__end").alias("__end")))
+    held_by = F.expr("CASE WHEN __x < __long * (__base + 1) THEN __x div (__base + 1) ELSE __long + (__x - __long * (__base + 1)) div __base END")
+    pieces = d.where("size > 0").select("source_no", "__b", "__r", "__s", (F.col("__s") + F.col("size")).alias("__e")).join(small(parts), "source_no")
+    pieces = pieces.withColumn("__x", F.col("__s")).withColumn("__first", held_by).withColumn("__x", F.col("__e") - 1).withColumn("__last", held_by)
+    pieces = pieces.withColumn("block", F.explode(F.sequence("__first", "__last")))
+    start = F.expr("block * __base + least(block, __long)")
+    end = F.expr("(block + 1) * __base + least(block + 1, __long)")
+    held = F.least("__e", end) - F.greatest("__s", start)
+    taken = pieces.join(uses.drop("__end"), ["source_no", "block"]).groupBy("source_no", "__b", "__r").agg(F.sum(held * F.col("uses")).alias("taken"))
+    # the words between the last whole slot and the target, as one block of its own
+    done = parts.join(uses.groupBy("source_no").agg(F.max("__end").alias("__done")), "source_no", "left").select("source_no", "__size", "__goal", F.coalesce("__done", F.lit(0)).alias("__done"))
+    among = lambda x: F.expr(f"({x} div __size) * size + least(greatest({x} % __size - __s, 0), size)")
+    out = d.join(taken, ["source_no", "__b", "__r"], "left").join(small(done), "source_no", "left")
+    rest = F.when(F.col("size") > 0, among("__goal") - among("__done"))
+    out = out.withColumn("taken", (F.coalesce("taken", F.lit(0)) + F.coalesce(rest, F.lit(0))).cast("long"))
     return out.select(*docs.columns, "source_size", "target", "taken")
 
 

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import flat, shared_path
+from lumenframe.llm.wordhash import ranges
 
 #: Widths in bits of the chunk levels: an id's low 8 bits, then the next 8, then 16 for larger vocabularies.
 WIDTHS = (8, 8, 16)
@@ -19,8 +21,10 @@ WIDTHS = (8, 8, 16)
 RANK_BLOCK = 512
 #: Ids after which a segment is closed; one document never spans segments.
 SEGMENT = 1 << 20
-#: Most words that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
+#: Most pieces that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
 CACHE = 500_000
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+BLOCK = 1 << 23
 
 
 class DirectlyAddressable:
@@ -83,85 +87,105 @@ class WordEncoder:
 
     The tokenizer drops white space and neither its normaliser nor its pieces reach across a blank or a line end, so a
     text's ids are those of what stands between them, one after the other. A word of common letters, digits and marks
-    is further cut as the tokenizer cuts it; any other is given to the library as it is.
+    is further cut as the tokenizer cuts it, and the library's model is given the pieces; any other word is given to the
+    whole tokenizer as it is. Words, pieces and ids of some megabytes of text are columns; Python sees distinct pieces.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        # the model's alphabet: a character for each byte; printable bytes stand for themselves
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        letter = [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+        self.alphabet = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x180)}
         # apostrophes begin contractions; "<|" begins the strings of special tokens
-        self.plain = re.compile(r"(?:[!-&(-;=-~]|[À-ÖØ-öø-įı-ſ])+")
+        self.plain = "^(?:[!-&(-;=-~]|[À-ÖØ-öø-įı-ſ])+$"
         self.cut = re.compile(r"[a-zà-öø-ſß]+|[0-9]|[^a-z0-9à-öø-ſß\n]+|\n")
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known, self.pieces = {"": b""}, {}
-        some = [w for w in words if self.plain.fullmatch(w)]
-        for w in words.difference(some):
-            self.known[w] = self._whole(w)
-        found = self.cut.findall("\n".join(some).lower())
-        self._learn_pieces(list(set(found).difference(self.pieces, "\n")))
-        at, own, pieces = 0, [], self.pieces
-        for x in found:
-            if x == "\n":
-                self.known[some[at]] = own[0] if len(own) == 1 else b"".join(own)
-                at, own = at + 1, []
-            else:
-                own.append(pieces[x])
-        if some:
-            self.known[some[at]] = b"".join(own)
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        """New pieces, many in one call, joined by blanks. Each one's last id is one that ends a word."""
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) != len(part):
-                self.pieces.update((x, self._whole(x)) for x in part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for x, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.pieces[x] = raw[start:stop]
-                start = stop
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*cut).difference(self.known):
-            before = self.known
-            self._learn(new)
-            if self.known is not before:  # the cache began anew
-                self._learn(set().union(*cut).difference(self.known))
-        known = self.known
-        for words in cut:
-            yield b"".join([known[w] for w in words])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"\n": 0}
+        self.ids, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def _learn(self, pieces: list[str], whole: bool) -> None:
+        """Ids of new pieces, which are put behind those already known."""
+        if whole:
+            found = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in pieces]
+        else:
+            tokenize, alphabet = self.model.tokenize, self.alphabet
+            found = [[t.id for t in tokenize(x if x.isascii() else x.translate(alphabet))] for x in pieces]
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), dtype=np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
+
+    def _places(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's number among the known ones, after the new ones are learned.
+
+        The bound on what is kept is looked at before anything is learned, so nothing that these texts need is lost:
+        texts of more distinct pieces than CACHE go beyond it until they are done.
+        """
+        new = [set(part).difference(self.known) for part in (plain, odd)]
+        if len(self.known) > 1 and len(self.known) + sum(map(len, new)) > CACHE:
+            self._forget()
+            new = [set(part).difference(self.known) for part in (plain, odd)]
+        for part, whole in zip(new, (False, True), strict=True):
+            if part:
+                self._learn(sorted(part), whole)
+        get = self.known.__getitem__
+        return tuple(np.fromiter(map(get, part), dtype=np.int64, count=len(part)) for part in (plain, odd))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has. Null texts are empty."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary
+        plain = pc.match_substring_regex(distinct, self.plain)
+        odd = distinct.filter(pc.invert(plain)).to_pylist()
+        # the pieces of all plain words, with a line end between words
+        some = distinct.filter(plain)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), pa.scalar("\n", pa.large_string()))[0].as_py()
+        at, own = self._places(self.cut.findall(joined.lower()), odd)
+        size = np.diff(self.ends, prepend=0)
+        n_plain, by_piece = len(distinct) - len(odd), size[at]
+        piece_ids = self.ids[ranges(self.ends[at] - by_piece, by_piece)]
+        # ids and sizes of the distinct words: plain ones first
+        sizes = np.concatenate([np.bincount(np.cumsum(at == 0), weights=by_piece, minlength=n_plain)[:n_plain].astype(np.int64), size[own]])
+        ids = np.concatenate([piece_ids, self.ids[ranges(self.ends[own] - size[own], size[own])]])
+        ends = np.cumsum(sizes)
+        mask = np.asarray(plain)
+        place = np.empty(len(distinct), dtype=np.int64)
+        place[mask], place[~mask] = np.arange(n_plain), np.arange(n_plain, len(distinct))
+        at = place[words.indices.to_numpy()]
+        counts = sizes[at]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        stops = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))])
+        return ids[ranges(ends[at] - counts, counts)], np.diff(total[stops])
 
 
 ENCODERS: dict[str, WordEncoder] = {}
 
-SEGMENTS = "part int, seq int, n_tokens long, keys array<long>, null_keys array<boolean>, lengths array<long>, chunks array<binary>, bits array<binary>, ranks array<binary>"
+#: first counts the ids of the part's segments before this one.
+SEGMENTS = "part int, seq int, first long, n_tokens long, keys array<long>, null_keys array<boolean>, lengths array<long>, chunks array<binary>, bits array<binary>, ranks array<binary>"
 
 
-def _by_size(encode: WordEncoder, texts: pa.Array) -> Iterator[bytes]:
-    """Each text's ids, some megabytes of text at a time."""
-    held, size = [], 0
-    for x in texts:
-        held.append(x.as_py())
-        size += len(held[-1] or "")
-        if size > 1 << 21:
-            yield from encode.all(held)
-            held, size = [], 0
-    yield from encode.all(held)
+def _encoded(parts: Iterator[pa.RecordBatch], encode: WordEncoder, end_id: int | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, ids and numbers of ids, some megabytes of text at a time."""
+    for part in parts:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(part.column("text")), 0), dtype=np.int64))
+        row = 0
+        while row < part.num_rows:
+            stop = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + BLOCK, side="right")))
+            ids, lengths = encode(part.column("text")[row:stop])
+            if end_id is not None:
+                out = np.full(len(ids) + len(lengths), end_id, dtype=np.uint32)
+                out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+                ids, lengths = out, lengths + 1
+            yield part.column("key")[row:stop], ids, lengths
+            row = stop
 
 
 def _segments(parts: Iterator[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
@@ -169,28 +193,29 @@ def _segments(parts: Iterator[pa.RecordBatch], path: str, end_id: int | None) ->
 
     if path not in ENCODERS:
         ENCODERS[path] = WordEncoder(path)
-    encode = ENCODERS[path]
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-    where, seq = TaskContext.get().partitionId(), 0
-    keys, lengths, held, size = [], [], [], 0
+    where, seq, first = TaskContext.get().partitionId(), 0, 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    kinds = {"part": pa.int32(), "seq": pa.int32(), "first": pa.int64(), "n_tokens": pa.int64(), "keys": pa.list_(pa.int64()), "null_keys": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())}
 
     def close() -> pa.RecordBatch:
-        chunks, bits, ranks = DirectlyAddressable.encode(np.frombuffer(b"".join(held), dtype="<u4"))
-        row = {"part": where, "seq": seq, "n_tokens": size, "keys": [k or 0 for k in keys], "null_keys": [k is None for k in keys], "lengths": lengths, "chunks": chunks, "bits": bits, "ranks": ranks}
-        kinds = {"part": pa.int32(), "seq": pa.int32(), "n_tokens": pa.int64(), "keys": pa.list_(pa.int64()), "null_keys": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())}
+        keys, ids, lengths = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        chunks, bits, ranks = DirectlyAddressable.encode(ids)
+        row = {"part": where, "seq": seq, "first": first, "n_tokens": len(ids), "keys": keys.fill_null(0).to_numpy(), "null_keys": np.asarray(keys.is_null()), "lengths": lengths, "chunks": chunks, "bits": bits, "ranks": ranks}
         return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.list_(pa.binary()))) for k, v in row.items()], names=list(row))
 
-    for part in parts:
-        for key, ids in zip(part.column("key").to_pylist(), _by_size(encode, part.column("text")), strict=True):
-            ids += end
-            keys.append(key)
-            lengths.append(len(ids) // 4)
-            held.append(ids)
-            size += len(ids) // 4
+    size = 0
+    for keys, ids, lengths in _encoded(parts, ENCODERS[path], end_id):
+        ends, doc, at = np.cumsum(lengths), 0, 0
+        while doc < len(lengths):
+            # up to the document with which the segment has enough
+            stop = min(len(lengths), int(np.searchsorted(ends, at + SEGMENT - size)) + 1)
+            held.append((keys[doc:stop], ids[at : ends[stop - 1]], lengths[doc:stop]))
+            size += int(ends[stop - 1]) - at
+            doc, at = stop, int(ends[stop - 1])
             if size >= SEGMENT:
                 yield close()
-                seq, keys, lengths, held, size = seq + 1, [], [], [], 0
-    if keys:
+                seq, first, held, size = seq + 1, first + size, [], 0
+    if held:
         yield close()
 
 
@@ -217,7 +242,7 @@ def _opened(one: pa.RecordBatch) -> DirectlyAddressable:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(key, start, ids) of each document in the files at path; ids as little-endian unsigned 32-bit integers.
 
-    start counts the ids of all documents before. The driver learns one count a segment's partition, no more.
+    start counts the ids of all documents before. The driver learns one count a task of the writing, no more.
     """
     files = spark.read.schema(SEGMENTS).parquet(path)
     starts = _starts(files)
@@ -229,7 +254,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = _opened(one).all().astype("<u4").tobytes()
                 lengths = flat(one.column("lengths"))[0]
                 ends = np.cumsum(lengths)
-                first = starts[one.column("part")[0].as_py()][one.column("seq")[0].as_py()]
+                first = starts[one.column("part")[0].as_py()] + one.column("first")[0].as_py()
                 keys = pa.array(flat(one.column("keys"))[0], mask=np.array(one.column("null_keys")[0].as_py(), dtype=bool))
                 ids = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 for at in range(0, len(ids), 2000):
@@ -239,23 +264,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(decode, "key long, start long, ids binary")
 
 
-def _starts(files: DataFrame) -> dict[int, list[int]]:
-    """The first id's number of each segment, by part and seq: one number a segment of about SEGMENT ids."""
+def _starts(files: DataFrame) -> dict[int, int]:
+    """The number of each part's first id: one number a task of the writing."""
     out, total = {}, 0
-    for part, counts in sorted(files.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("seq", "n_tokens")))).collect()):
-        out[part] = []
-        for c in counts:
-            out[part].append(total)
-            total += c["n_tokens"]
+    for part, n in sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect()):
+        out[part] = total
+        total += n
     return out
 
 
 def token_at(spark: SparkSession, path: str, i: int) -> int:
     """Id number i of all, from one segment and without decoding it."""
     files = spark.read.schema(SEGMENTS).parquet(path)
-    part, seq, start = max(((p, s, x) for p, xs in _starts(files).items() for s, x in enumerate(xs) if x <= i), key=lambda x: x[2])
-    row = files.where((F.col("part") == part) & (F.col("seq") == seq)).first()
-    return DirectlyAddressable(row["chunks"], row["bits"], row["ranks"], row["n_tokens"])[i - start]
+    part, start = max(((p, x) for p, x in _starts(files).items() if x <= i), key=lambda x: (x[1], x[0]))
+    row = files.where((F.col("part") == part) & (F.col("first") <= i - start) & (F.col("first") + F.col("n_tokens") > i - start)).first()
+    return DirectlyAddressable(row["chunks"], row["bits"], row["ranks"], row["n_tokens"])[i - start - row["first"]]
 
 
 def op2_addressable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

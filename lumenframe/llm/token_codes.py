@@ -22,9 +22,9 @@ RANK_BLOCK = 512
 #: Ids after which a segment is closed; one document never spans segments.
 SEGMENT = 1 << 20
 #: Most pieces that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
-CACHE = 500_000
+CACHE = 300_000
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 
 
 class DirectlyAddressable:

@@ -16,12 +16,14 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests, local mode) one is made."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset in local mode one is made; on a cluster that is an error."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(found)
         return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
     return sc.getCheckpointDir()
 
@@ -61,6 +63,27 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(lengths)])
 
 
+#: A key of more than 1 in HOT of all rows is dealt to SALTS places.
+HOT, SALTS = 1000, 32
+
+
+def hot_keys(counts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """The keys that hold more than one in HOT of all rows, so HOT keys at most; none in small tables."""
+    return counts.where(F.col(count) > max(10_000, total // HOT)).select(*keys)
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """big joined with small, of which a key has few rows, on equal keys.
+
+    Rows of big with a key in hot (a table of HOT rows at most, which is broadcast) are dealt to SALTS places by the hash
+    of column `by`, and such rows of small stand in each place. So no key is one task, however many rows have it.
+    """
+    mark = F.broadcast(hot.distinct().withColumn("__hot", F.lit(True)))
+    left = big.join(mark, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    right = small.join(mark, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("__hot")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
     """df with its rows numbered from 0 in a total order, and their count.
 

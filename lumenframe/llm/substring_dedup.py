@@ -10,66 +10,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, flat
+from lumenframe.llm.common import cut, flat, hot_keys, spread_join
 from lumenframe.llm.wordhash import blocks, lowest, ranges, spans, windows, word_hashes
 
 
+#: Words in the windows of the first level; each level's are twice as long, less one where the last length asks for it.
+SHORTEST = 7
+
+
+def levels(length: int) -> list[int]:
+    """The window lengths from the shortest to `length`: half of each, rounded up, is the one before."""
+    out = [length]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class _Texts:
-    """The windows of some texts at two lengths.
+    """The full windows of some texts, and at a level what stands for them.
 
-    low[i] is the smallest hash of the half-length windows that lie in the full window at i: two equal full windows
-    have equal ones, so it stands for the full window at the shorter length. Neighbours share it: runs are the
-    stretches of full windows of one text with the same one, and a run's span is all words that its windows cover.
+    At a level of shorter windows, low[i] is the smallest hash of those that lie in the full window at i: two equal full
+    windows have equal ones, so it stands for the full window. Neighbours share it: runs are the stretches of full
+    windows of one text with the same one, and a run's span is all words that its windows cover.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
         self.starts, self.ends, self.by = spans(data, offsets)
         self.hashes, _ = word_hashes(data, offsets)
+        self.length = length
         counts = np.maximum(0, np.diff(self.by) - length + 1)
         self.text = np.repeat(np.arange(len(counts)), counts)  # of each full window
         self.at = ranges(self.by[:-1], counts)  # its first word
-        half = length // 2
-        low = lowest(windows(self.hashes, half), length - half + 1) if len(self.hashes) >= length else np.zeros(0, dtype=np.uint64)
-        self.low = low[self.at].view(np.int64)
-        new = np.ones(len(self.at), dtype=bool)
-        new[1:] = (self.low[1:] != self.low[:-1]) | (self.text[1:] != self.text[:-1])
-        self.run = np.flatnonzero(new)  # the first window of each run
-        self.run_of = np.cumsum(new) - 1
 
+    def low(self, level: int) -> np.ndarray:
+        """What stands for each full window at a level."""
+        if len(self.hashes) < self.length:
+            return np.zeros(0, dtype=np.int64)
+        return lowest(windows(self.hashes, level), self.length - level + 1)[self.at].view(np.int64)
+
+    def full(self, salt: int = 0) -> np.ndarray:
+        """The hash of each full window."""
+        return windows(self.hashes, self.length, salt)[self.at]
 
-def _anchors(parts: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    def among(self, low: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which full windows have a low among their text's values. Neighbours with the same one are looked up once."""
+        if not len(low) or at[-1] == at[0]:
+            return np.zeros(len(low), dtype=bool)
+        new = np.ones(len(low), dtype=bool)
+        new[1:] = (low[1:] != low[:-1]) | (self.text[1:] != self.text[:-1])
+        run = np.flatnonzero(new)
+        return _among(low[run], self.text[run], values, at)[np.cumsum(new) - 1]
+
+
+def _anchors(parts: Iterator[pa.RecordBatch], length: int, level: int, before: int | None) -> Iterator[pa.RecordBatch]:
+    """The runs of a level. After the first level only full windows count whose low of the level before is open."""
     for part in parts:
         keys, marks = np.asarray(part.column("doc")), np.asarray(part.column("mark"))
+        values, at = flat(part.column("open")) if before else (None, None)
         for rows, data, offsets in blocks(part.column("text")):
             t = _Texts(data, offsets, length)
-            if not len(t.run):
+            low, some = t.low(level), np.arange(len(t.at))
+            if before:
+                some = np.flatnonzero(t.among(t.low(before), values, at[rows.start : rows.stop + 1]))
+            if not len(some):
                 continue
-            sizes = np.diff(np.append(t.run, len(t.at)))
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_full(t, length), dtype=np.uint64)])
+            low, text = low[some], t.text[some]
+            new = np.ones(len(some), dtype=bool)
+            new[1:] = (low[1:] != low[:-1]) | (some[1:] != some[:-1] + 1) | (text[1:] != text[:-1])
+            run = np.flatnonzero(new)
+            sizes = np.diff(np.append(run, len(some)))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(t.full()[some], dtype=np.uint64)])
             with np.errstate(over="ignore"):  # the sum of a run's full windows, with their count, tells its span
-                span = (sums[t.run + sizes] - sums[t.run] + sizes.astype(np.uint64)).view(np.int64)
-            at = t.text[t.run]
-            yield pa.RecordBatch.from_arrays([pa.array(t.low[t.run]), pa.array(span), pa.array(keys[rows][at]), pa.array(marks[rows][at])], names=["low", "span", "doc", "mark"])
-
+                span = (sums[run + sizes] - sums[run] + sizes.astype(np.uint64)).view(np.int64)
+            who = text[run]
+            yield pa.RecordBatch.from_arrays([pa.array(low[run]), pa.array(span), pa.array(keys[rows][who]), pa.array(marks[rows][who])], names=["low", "span", "doc", "mark"])
 
-def _full(t: _Texts, length: int, salt: int = 0) -> np.ndarray:
-    return windows(t.hashes, length, salt)[t.at]
 
-
-def _extended(parts: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The full windows, by two hashes, of those runs whose short window is among the row's open ones."""
+def _extended(parts: Iterator[pa.RecordBatch], length: int, before: int) -> Iterator[pa.RecordBatch]:
+    """The full windows, by two hashes, whose low of the level before is among the row's open ones."""
     for part in parts:
         keys, marks = np.asarray(part.column("doc")), np.asarray(part.column("mark"))
         values, at = flat(part.column("open"))
         for rows, data, offsets in blocks(part.column("text")):
             t = _Texts(data, offsets, length)
-            lows = t.low[t.run]
-            hit = _among(lows, t.text[t.run], values, at[rows.start : rows.stop + 1])
-            some = np.flatnonzero(hit[t.run_of])
+            some = np.flatnonzero(t.among(t.low(before), values, at[rows.start : rows.stop + 1]))
             if len(some):
-                one, two = _full(t, length)[some].view(np.int64), _full(t, length, 1)[some].view(np.int64)
                 who = t.text[some]
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(keys[rows][who]), pa.array(marks[rows][who])], names=["one", "two", "doc", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.full()[some].view(np.int64)), pa.array(t.full(1)[some].view(np.int64)), pa.array(keys[rows][who]), pa.array(marks[rows][who])], names=["one", "two", "doc", "mark"])
 
 
 def _among(x: np.ndarray, text: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -83,18 +110,16 @@ def _among(x: np.ndarray, text: np.ndarray, values: np.ndarray, at: np.ndarray)
     return hit
 
 
-def _removed(parts: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _removed(parts: Iterator[pa.RecordBatch], length: int, with_text: bool, steps: list[int]) -> Iterator[pa.RecordBatch]:
     """Each document's counts, and the digest of what is left or the text itself."""
     for part in parts:
-        shut, shut_at = flat(part.column("shut"))
-        full, full_at = flat(part.column("full"))
+        lists = {k: flat(part.column(f"gone{k}")) for k in steps}
         for rows, data, offsets in blocks(part.column("text")):
             t = _Texts(data, offsets, length)
             gone = np.zeros(len(t.at), dtype=bool)
-            if len(t.run) and shut_at[rows.stop] > shut_at[rows.start]:
-                gone |= _among(t.low[t.run], t.text[t.run], shut, shut_at[rows.start : rows.stop + 1])[t.run_of]
-            if len(t.run) and full_at[rows.stop] > full_at[rows.start]:
-                gone |= _among(_full(t, length).view(np.int64), t.text, full, full_at[rows.start : rows.stop + 1])
+            for k, (values, at) in lists.items():
+                if len(t.at) and at[rows.stop] > at[rows.start]:
+                    gone |= t.among(t.full().view(np.int64) if k == length else t.low(k), values, at[rows.start : rows.stop + 1])
             cover = np.zeros(len(t.hashes) + 1, dtype=np.int64)
             np.add.at(cover, t.at[gone], 1)
             np.add.at(cover, t.at[gone] + length, -1)
@@ -124,32 +149,52 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
 
     Null and empty texts have no words and lose none. Rows with a null id lose nothing and make nobody lose anything.
     Rows with equal ids are no smaller than each other; a repeated row gives a repeated result. Other columns stay
-    as they are with with_text, else they are left out. An empty table gives no rows.
-
-    Level 1 looks at windows of half the length, of each full window the one with the smallest hash. What occurs in one
-    document alone is out. Where all documents agree on the words around such a window, the smallest id among them
-    settles it. Only the others are extended to the full length and compared again, by 128 bits of hash. A hash that a
-    third of all documents have is one row by task before it is shuffled, and lists of hashes are lists of one
+    as they are with with_text, else they are left out. An empty table gives no rows. Columns named like the results are
+    an error.
+
+    A first level looks at windows of SHORTEST words or a few less, of each full window the one with the smallest hash.
+    What occurs in one document alone is out. Where all documents agree on the words around such a window, the smallest
+    id among them settles it. Only the others are extended to twice the length and compared again, level by level until
+    none is left or the full length is reached, where 128 bits of hash decide. A hash that many documents have is one row
+    by task before it is counted and is dealt to several tasks where it is joined; lists of hashes are lists of one
     document's own.
     """
+    if clash := {"n_words", "n_removed", "kept"} & (set(docs.columns) - {text_col}):
+        raise ValueError(f"the table already has {sorted(clash)}")
     others = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
     rest = F.struct(*[F.col(c) for c in others], F.lit(0).alias("__none"))
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest")).withColumn("mark", F.xxhash64("text"))
     kind = d.schema["rest"].dataType.simpleString()
     known = d.where("doc is not null").select("doc", "text", "mark")
-    anchors = cut(known.mapInArrow(lambda p: _anchors(p, length), "low long, span long, doc long, mark long"))
-    facts = anchors.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b")).where("lo < hi").select("low", "lo", (F.col("a") == F.col("b")).alias("same"))
-    found = anchors.join(facts, "low").where("not same or doc > lo")
-    lists = cut(found.groupBy("doc", "mark").agg(F.collect_set(F.when(F.col("same"), F.col("low"))).alias("shut"), F.collect_set(F.when(~F.col("same"), F.col("low"))).alias("open")))
-    open_ = lists.where("size(open) > 0").select("doc", "mark", "open")
-    longer = cut(known.join(open_, ["doc", "mark"]).select("doc", "mark", "text", "open").mapInArrow(lambda p: _extended(p, length), "one long, two long, doc long, mark long").distinct())
-    least = longer.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("one", "two", "lo")
-    full = longer.join(least, ["one", "two"]).where("doc > lo").groupBy("doc", "mark").agg(F.collect_set("one").alias("full"))
+    steps, before, read, settled = levels(length), None, known, []
+    for k in steps[:-1]:
+        anchors = cut(read.mapInArrow(lambda p, k=k, before=before: _anchors(p, length, k, before), "low long, span long, doc long, mark long"))
+        facts = anchors.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b"), F.count("*").alias("n")).where("lo < hi").select("low", "lo", (F.col("a") == F.col("b")).alias("same"), "n")
+        facts = cut(facts)
+        hot = hot_keys(facts, ["low"], "n", anchors.count())
+        found = spread_join(anchors, facts.drop("n"), ["low"], hot, "doc").where("not same or doc > lo")
+        lists = cut(found.groupBy("doc", "mark").agg(F.collect_set(F.when(F.col("same"), F.col("low"))).alias("shut"), F.collect_set(F.when(~F.col("same"), F.col("low"))).alias("open")))
+        settled.append(lists.where("size(shut) > 0").select("doc", "mark", F.lit(k).alias("level"), F.col("shut").alias("gone")))
+        open_ = lists.where("size(open) > 0").select("doc", "mark", "open")
+        before = k
+        if open_.isEmpty():
+            break
+        read = known.join(open_, ["doc", "mark"]).select("doc", "mark", "text", "open")
+    else:
+        if before is None:  # a length of one level: nothing is left out beforehand
+            raise ValueError(f"windows must be longer than {SHORTEST} words")
+        longer = cut(read.mapInArrow(lambda p: _extended(p, length, before), "one long, two long, doc long, mark long").distinct())
+        least = cut(longer.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("one", "two", "lo", "n"))
+        hot = hot_keys(least, ["one", "two"], "n", longer.count())
+        full = spread_join(longer, least.drop("n"), ["one", "two"], hot, "doc").where("doc > lo").groupBy("doc", "mark").agg(F.collect_set("one").alias("gone"))
+        settled.append(full.select("doc", "mark", F.lit(length).alias("level"), "gone"))
+    lists = settled[0]
+    for one in settled[1:]:
+        lists = lists.unionByName(one)
+    lists = cut(lists.groupBy("doc", "mark").agg(*[F.first(F.when(F.col("level") == k, F.col("gone")), ignorenulls=True).alias(f"gone{k}") for k in steps]))
     none = F.array().cast("array<long>")
-    shut = lists.where("size(shut) > 0").select("doc", "mark", "shut")
-    known_lists = cut(shut.join(full, ["doc", "mark"], "full"))
-    each = d.join(known_lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", F.coalesce("shut", none).alias("shut"), F.coalesce("full", none).alias("full"))
-    out = each.mapInArrow(lambda p: _removed(p, length, with_text), f"row long, rest {kind}, n_words long, n_removed long, kept string")
+    each = d.join(lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", *[F.coalesce(f"gone{k}", none).alias(f"gone{k}") for k in steps])
+    out = each.mapInArrow(lambda p: _removed(p, length, with_text, steps), f"row long, rest {kind}, n_words long, n_removed long, kept string")
     return out.select(F.col("row").alias(id_col), *[F.col(f"rest.{c}").alias(c) for c in others], "n_words", "n_removed", "kept")
 
 

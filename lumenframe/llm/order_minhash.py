@@ -10,23 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, cut
+from lumenframe.llm.common import components, cut, hot_keys, spread_join
 from lumenframe.llm.wordhash import blocks, mixed, ranges, windows, word_hashes
 
 #: Words in a k-mer, k-mers in a sample, and samples. At a similarity of 0.8 a sample is shared with a probability of
 #: about 0.6, so all 16 miss less than once in a million pairs.
 K, PICKED, SAMPLES = 5, 2, 16
-#: Buckets of up to SMALL documents are compared pair by pair, larger ones by tiles of about TILE documents.
-SMALL, TILE = 16, 512
+#: Buckets of up to SMALL documents are compared pair by pair, larger ones by tiles of about TILE documents or TILE_KMERS
+#: k-mers, some megabytes of text.
+SMALL, TILE, TILE_KMERS = 16, 512, 1 << 18
 #: Columns of the incidence matrix that are multiplied at once.
 WIDE = 4096
 
 
 def labelled(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's k-mers of words, labelled by how manieth occurrence in the text each is, and the first ones kept:
-    hashes in text order, offsets by text, and the number of words. Similarity is over distinct k-mers, so that a line
-    which two texts repeat a hundred times makes them no more alike than one copy of it. A text of fewer words is one
-    k-mer, an empty one none."""
+    """Each text's distinct k-mers of words: hashes in the order of their first occurrence, offsets by text, and the
+    number of words. A k-mer is labelled by how manieth occurrence in the text it is, and those with another label than
+    the first leave: similarity is over distinct k-mers, so that a line which two texts repeat a hundred times makes them
+    no more alike than one copy of it. A text of fewer words is one k-mer, an empty one none."""
     hashes, by = word_hashes(data, offsets)
     words = np.diff(by)
     counts = np.where(words >= k, words - k + 1, np.minimum(words, 1))
@@ -98,9 +99,9 @@ def _sketched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
-    """Similarity of two texts' labelled k-mers: matched / (all - matched), with matches in the order of both texts.
+    """Similarity of two texts' distinct k-mers: matched / (all - matched), with matches in the order of both texts.
 
-    Labelled k-mers occur once in a text, so the best alignment is the longest rising chain of matches. An alignment
+    A k-mer occurs once in a text, so the best alignment is the longest rising chain of matches. An alignment
     good enough leaves few k-mers of either text out, so only matches within a band about the diagonal count.
     """
     if not len(a) or not len(b):
@@ -150,7 +151,7 @@ def _verified(parts: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many labelled k-mers each of a shares with each of b: products of incidence matrices, some columns at a time."""
+    """How many k-mers each of a shares with each of b: products of incidence matrices, some columns at a time."""
     size = lambda x: np.array([len(y) for y in x])
     left, right = np.concatenate(a), np.concatenate(b)
     common = np.intersect1d(left, right)
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     """One row a document: id_col, class_id (the smallest id of its class), copy_of and kept (whether it is that one).
 
     Documents of one word sequence are one class; copy_of is the smallest id with the same words. Two classes are one
-    if their labelled k-mers of five words align to similarity or more, directly or by way of others. Documents without
+    if their distinct k-mers of five words align to similarity or more, directly or by way of others. Documents without
     words (null, empty) and those with a null id are like nothing else and are kept. Ids are taken as unique: rows with
     equal ids and equal words are copies. Other columns are ignored; an empty table gives no rows.
 
@@ -226,28 +227,39 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     fits = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        total = pairs.count()
         left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda p: _verified(p, similarity), "a long, b long"))
-
-    pivots = buckets.groupBy("bucket").agg(F.min(F.struct("doc", "size")).alias("p")).select("bucket", F.col("p.doc").alias("b"), F.col("p.size").alias("size_b"))
-    met = buckets.join(pivots, "bucket").where(F.col("doc") != F.col("b"))
+        # a document may be in many pairs on either side; both joins deal such documents to several tasks
+        often = lambda c: hot_keys(pairs.groupBy(c).count(), [c], "count", total)
+        full = spread_join(spread_join(pairs, left, ["a"], often("a"), "b"), right, ["b"], often("b"), "a")
+        return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda p: _verified(p, similarity), "a long, b long"))
+
+    pivots = cut(buckets.groupBy("bucket").agg(F.min(F.struct("doc", "size")).alias("p"), F.count("*").alias("g")).select("bucket", F.col("p.doc").alias("b"), F.col("p.size").alias("size_b"), "g"))
+    large = cut(hot_keys(pivots, ["bucket"], "g", buckets.count()))
+    met = spread_join(buckets, pivots.drop("g"), ["bucket"], large, "doc").where(F.col("doc") != F.col("b"))
     star = check(met.where(fits).select(F.col("doc").alias("a"), "b").distinct())
-    rest = cut(met.select("bucket", "doc", "size").join(components(star).withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "size", F.coalesce("root", "doc").alias("part")))
-    crossing = rest.groupBy("bucket").agg(F.count("*").alias("g"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket", "g")
-    active = cut(rest.join(crossing, "bucket"))
+    first = cut(components(star))
+    at = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = cut(met.select("bucket", "doc", "size").join(at("doc"), "doc", "left").select("bucket", "doc", "size", F.coalesce("doc_root", "doc").alias("part")))
+    crossing = rest.groupBy("bucket").agg(F.count("*").alias("g"), F.sum("size").alias("all"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket", "g", "all")
+    active = cut(spread_join(rest, crossing, ["bucket"], large, "doc"))
     few = active.where(F.col("g") <= SMALL)
     other = few.select("bucket", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
     pairs = few.join(other, "bucket").where((F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits).select(F.col("doc").alias("a"), "b").distinct()
-    many = active.where(F.col("g") > SMALL).withColumn("tiles", F.ceil(F.col("g") / TILE)).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
+    tiles_of = F.greatest(F.ceil(F.col("g") / TILE), F.ceil(F.col("all") / TILE_KMERS))
+    many = active.where(F.col("g") > SMALL).withColumn("tiles", tiles_of).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
     tiles = cut(many.join(texts, "doc").groupBy("bucket", "tile", "tiles").agg(F.collect_list(F.struct("doc", "part", "text")).alias("held")))
     meet = tiles.select("bucket", "tile", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("other"))
     full = meet.join(tiles.select("bucket", "tile", F.col("held").alias("left")), ["bucket", "tile"]).join(tiles.select("bucket", F.col("tile").alias("other"), F.col("held").alias("right")), ["bucket", "other"])
     tiled = cut(full.select("left", "right", (F.col("tile") == F.col("other")).alias("same")).mapInArrow(lambda p: _tiled(p, similarity), "a long, b long"))
-    links = star.unionByName(check(pairs)).unionByName(tiled)
-    named = classes.select("one", "two", "rep")
-    named = named.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    full = prints.where("words > 0").join(named, ["one", "two"]).select("doc", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+    # what the pivots joined is one node now
+    more = check(pairs).unionByName(tiled).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    second = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    named = classes.select("one", "two", "rep").join(at("rep"), "rep", "left").withColumn("node", F.coalesce("rep_root", "rep")).join(second, "node", "left")
+    named = named.select("one", "two", "rep", F.coalesce("root", "node").alias("root"))
+    full = prints.where("words > 0").join(named, ["one", "two"]).select("doc", F.col("root").alias("class_id"), F.col("rep").alias("copy_of"))
     alone = prints.where("words = 0").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))
     nobody = d.where("doc is null").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))
     out = full.unionByName(alone).unionByName(nobody)

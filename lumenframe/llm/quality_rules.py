@@ -127,9 +127,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
     kept is false if base_failed, or if the text is long enough and its character histogram lies further than MOST_CHARS
     from every language's reference, or its common-word histogram further than MOST_WORDS of what a text without common
-    words does. Comparing with all languages spares clean texts with a wrong or missing lang; long texts in languages
-    without a reference have no common words and go. References without common words do not decide. Null and empty texts have no words and fail the base rules. Other
-    columns stay as they are, and every row is kept and judged by itself, repeated ones too. An empty table gives no
+    words does. Comparing with all languages spares clean texts with a wrong or missing lang. Texts whose lang has no
+    reference are judged by the base rules alone, and references without common words do not decide. Null and empty texts
+    have no words and fail the base rules. Other columns stay as they are, and every row is kept and judged by itself, repeated ones too. An empty table gives no
     rows; without any reference only the base rules decide. Columns named like the results are an error.
     """
     if clash := {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_bins", "char_bins", "base_failed", "char_distance", "word_distance", "kept"} & set(docs.columns):
@@ -150,7 +150,8 @@ def judge(docs: DataFrame) -> DataFrame:
     d = d.drop("__c", "__w")
     chars = F.aggregate("char_bins", F.lit(0).cast("long"), lambda a, x: a + x)
     odd = ((chars >= LEAST_CHARS) & (F.col("char_distance") > MOST_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("__far") > MOST_WORDS))
-    return d.withColumn("kept", ~F.col("base_failed") & ~odd).drop("__far")
+    known_lang = F.col("lang").isNull() | F.col("lang").isin([r[0] for r in refs])
+    return d.withColumn("kept", ~F.col("base_failed") & ~(odd & known_lang)).drop("__far")
 
 
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_all_common_words_are_counted(spark):
     texts = [prose(150, i) for i in range(20)] + [None, "from für par con from", "it's " + " ".join(quality_rules.WORDS * 2)]
     # characters at a distance of 0.28 to 0.33 from the others'
     texts.append(" ".join(w + "%" * (k % 5 < 2) * 3 for k, w in enumerate(prose(150, 99).split())))
-    d = spark.createDataFrame([(i, t, "en" if i < 20 else "it") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(i, t, "en" if i < 20 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
     assert {"from", "für", "par", "con", "with", "au"} <= set(quality_rules.WORDS)
     for i, t in enumerate(texts):
@@ -39,3 +39,46 @@ def test_texts_without_common_words_go(spark):
     assert {i for i, r in got.items() if r["kept"]} == {*range(20), 22}
     # where no text has common words there is nothing to hold texts against
     assert all(r["kept"] for r in quality_rules.judge(d.where("doc_id in (20, 22)")).collect())
+
+
+def divergence(bins, references):
+    """The least Jensen-Shannon distance to base 2 of counts from reference counts."""
+    out = []
+    for r in references:
+        p, q = np.array(bins) / max(1, sum(bins)), np.array(r) / max(1, sum(r))
+        m = (p + q) / 2
+        kl = lambda x, m=m: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        out.append(max(0.0, (kl(p) + kl(q)) / 2) ** 0.5)
+    return min(out)
+
+
+def test_counts_and_distances(spark):
+    texts = [prose(60 + 10 * i, i) for i in range(12)] + ["#tag $5 *bold* a|b <x> & 100% " * 9, "| ".join(prose(90, 77).split()), "A1 B2, C3!\n" * 30, "", None, "日本 É ñ \u00a0 x\u0301 Ⅷ ½ _ ="]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(d).collect()}
+    import regex
+
+    order = (r"\p{Ll}", r"\p{Lu}", r"[\p{L}\p{M}]", r"\p{N}", r"[\s\p{Z}]", r"[.,;:!?'\"()\-]")
+    for i, t in enumerate(texts):
+        bins = [0] * 7
+        for c in t or "":
+            bins[next((k for k, p in enumerate(order) if regex.fullmatch(p, c, regex.ASCII if k == 4 and c in "\x85" else 0)), 6)] += 1
+        assert got[i]["char_bins"] == bins
+        assert got[i]["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "")
+        assert got[i]["word_chars"] == sum(map(len, words(t)))
+    ok = [r for r in got.values() if not r["base_failed"] and r["n_words"] >= quality_rules.LEAST_WORDS]
+    chars, common = (np.sum([r[c] for r in ok], axis=0) for c in ("char_bins", "word_bins"))
+    none = divergence([0] * len(quality_rules.WORDS) + [1], [common])
+    for r in got.values():
+        if r["n_words"]:
+            assert abs(r["char_distance"] - divergence(r["char_bins"], [chars])) < 1e-9
+            assert abs(r["word_distance"] - divergence(r["word_bins"], [common])) < 1e-9
+        far = sum(r["char_bins"]) >= 200 and r["char_distance"] > 0.28 or r["n_words"] >= 40 and r["word_distance"] > 0.95 * none
+        assert r["kept"] == (not r["base_failed"] and not far)
+    assert {r["kept"] for r in ok} == {True, False}
+
+
+def test_languages_without_a_reference_are_left_alone(spark):
+    rows = [(i, prose(150, i), "en") for i in range(10)] + [(10, prose(300, 50, 0), "it"), (11, prose(300, 50, 0), None), (12, "語の文章 " * 90, "ja"), (13, "語" * 3 + " x", "ja")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame([(i, t if i != 12 else " ".join(f"語{k}文章の" for k in range(90)), g) for i, t, g in rows], "doc_id long, text string, lang string")).collect()}
+    assert {i for i, k in got.items() if not k} == {11, 13}

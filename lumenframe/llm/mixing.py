@@ -74,9 +74,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     missing after the last one are a shorter block of their own, so that a source of any size gives its target, rounded.
     Blocks shrink with the input so that a mix has some thousand slots at least. Equal rows may
     swap places in the order. Documents without words take part with 0. Null sources are a source of their own. Empty
-    tables give no rows. Further columns stay as they are.
+    tables give no rows. Further columns stay as they are; those named like the results, source_no or block are an error.
     """
-    spark = docs.sparkSession
+    if clash := {"source_size", "target", "taken", "source_no", "block"} & set(docs.columns):
+        raise ValueError(f"the table already has {sorted(clash)}")
+    docs = cut(docs)  # what sizes are counted from is read once
     d = docs.withColumn("__x", F.xxhash64(F.lit(seed), "doc_id")).withColumn("__b", F.shiftrightunsigned("__x", 54))
     sizes = cut(d.groupBy("source", "__b").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
     t = cut(targets(sizes, weights, share, most))

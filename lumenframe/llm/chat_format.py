@@ -38,10 +38,14 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     """Rows of (chosen, rejected), arrays of turns, with n_common, prompt, two completions and the two loss masks.
 
     The prompt is the longest common prefix of whole turns (role and text equal), rendered once. Equal conversations
-    have empty completions; null conversations are empty ones. Other columns stay as they are.
+    have empty completions; null conversations are empty ones, and null roles and texts (and turns) have empty ones. Other
+    columns stay as they are; those named like the results are an error. An empty table gives no rows.
     """
+    if clash := {"n_common", "prompt", "chosen_completion", "rejected_completion", "chosen_mask", "rejected_mask"} & set(pairs.columns):
+        raise ValueError(f"the table already has {sorted(clash)}")
     none = F.array().cast("array<struct<role:string,text:string>>")
-    d = pairs.withColumn("chosen", F.coalesce("chosen", none)).withColumn("rejected", F.coalesce("rejected", none))
+    plain = lambda c: F.transform(F.coalesce(c, none), lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    d = pairs.withColumn("chosen", plain("chosen")).withColumn("rejected", plain("rejected"))
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     d = d.withColumn("n_common", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int"))
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.size(c))
@@ -53,8 +57,8 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
 
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) as preference pairs; one without its partner is paired with none."""
-    c = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    pick = lambda k: F.max(F.when(F.col("conv_id") % 2 == k, F.struct("conv_id", "turns")))
+    c = conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("pair_id", F.shiftright(F.col("conv_id").cast("long"), 1))
+    pick = lambda k: F.max(F.when(F.pmod("conv_id", F.lit(2)) == k, F.struct("conv_id", "turns")))
     pairs = c.groupBy("pair_id").agg(pick(0).alias("a"), pick(1).alias("b"))
     out = preference_pairs(pairs.select("pair_id", F.col("a.conv_id").alias("chosen_id"), F.col("b.conv_id").alias("rejected_id"), F.col("a.turns").alias("chosen"), F.col("b.turns").alias("rejected")))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -67,8 +71,8 @@ WITH c AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 p AS (
-  SELECT coalesce(a.conv_id // 2, b.conv_id // 2) AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, coalesce(a.t, []) AS a, coalesce(b.t, []) AS b
-  FROM (SELECT * FROM c WHERE conv_id % 2 = 0) a FULL JOIN (SELECT * FROM c WHERE conv_id % 2 = 1) b ON a.conv_id + 1 = b.conv_id),
+  SELECT (coalesce(a.conv_id, b.conv_id) - (coalesce(a.conv_id, b.conv_id) & 1)) // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, coalesce(a.t, []) AS a, coalesce(b.t, []) AS b
+  FROM (SELECT * FROM c WHERE conv_id & 1 = 0) a FULL JOIN (SELECT * FROM c WHERE conv_id & 1 = 1) b ON a.conv_id + 1 = b.conv_id),
 n AS (
   SELECT *, coalesce((SELECT min(i) - 1 FROM range(1, greatest(len(a), len(b)) + 1) r(i) WHERE a[i] IS DISTINCT FROM b[i]), len(a)) AS k FROM p),
 s AS (SELECT *, a[k + 1:] AS ra, b[k + 1:] AS rb FROM n),

@@ -166,23 +166,31 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     return docs.select(text_col, *others).mapInArrow(run, schema)
 
 
-def op10_ranked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of all documents' ids and of what they decode to."""
-    import public_tokenizers
+def digest_columns(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+    """encoded with n_tokens, ids_sha256 and decoded_sha256: the ids' number and digest, and that of the bytes they decode to.
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(encode_column(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, pattern), path, pattern)
-
-
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
+    A null ids_col counts as empty. Columns of encoded named like the results are an error.
+    """
+    if clash := {"n_tokens", "ids_sha256", "decoded_sha256"} & set(encoded.columns):
+        raise ValueError(f"the table already has {sorted(clash)}")
+    place = encoded.columns.index(ids_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, pattern)
         for part in parts:
-            ids = part.column("ids").to_pylist()
+            ids = [x or b"" for x in part.column(place).to_pylist()]
             out = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(encode.decode(x)).hexdigest()) for x in ids]
             n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*part.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+    return encoded.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op10_ranked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of all documents' ids and of what they decode to."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return digest_columns(encode_column(docs, path, pattern), path, pattern).drop("ids")

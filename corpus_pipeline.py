@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.byte_bpe import encode_column
+from lumenframe.llm.byte_bpe import digest_columns, encode_column
 from lumenframe.llm.common import shared_path, word_count
 from lumenframe.llm.mixing import mix
 from lumenframe.llm.order_minhash import near_duplicates
@@ -17,26 +17,43 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The few rejected rows are what the documents are joined with."""
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    """Documents that the quality rules keep. The few rejected rows are what the documents are joined with.
+
+    Null and empty texts go; rows that repeat stay or go together; further columns are dropped; no rows give none.
+    """
+    marked = docs.select(*COLUMNS).withColumn("__mark", F.xxhash64("text"))
     gone = judge(marked).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m")).distinct()
     return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_anti").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id."""
+    """One document of each class of near-duplicates, that with the smallest id; of rows that repeat one stays.
+
+    Texts without words and rows without an id are like nothing else and stay. No rows give none.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # ids and hashes tell which rows repeat, so that only those are compared as a whole
+    mark = F.xxhash64("text")
+    twice = docs.groupBy(F.col("doc_id").alias("__id"), mark.alias("__m")).count().where("count > 1").drop("count")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__m"))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words that an earlier one has; documents of nothing else go."""
+    """Documents without passages of 50 words that an earlier one has; documents of nothing else go.
+
+    Texts without words and rows without an id stay as they are. No rows give none.
+    """
     out = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its taken words make up its size, to the nearest whole number."""
+    """The mix: each document as often as its taken words make up its size, to the nearest whole number.
+
+    Texts without words are in no mix; a null source is a source of its own. No rows give none.
+    """
     marked = docs.withColumn("__mark", F.xxhash64("text"))
     taken = mix(marked.select("doc_id", "source", "__mark", word_count(F.col("text")).alias("size")))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
@@ -46,10 +63,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' byte-level BPE ids, as little-endian unsigned 32-bit integers."""
+    """The documents' byte-level BPE ids, as little-endian unsigned 32-bit integers, and a digest of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     out = encode_column(docs.select("doc_id", "text", "lang", "source"), path, pattern)
-    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return digest_columns(out, path, pattern).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing", mixture), ("byte BPE", tokens)]

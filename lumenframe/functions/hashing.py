@@ -122,3 +122,9 @@ def lattice(name: str, x: str, y: str) -> Steps:
         (f"{n}_4", xor(f"{n}_2", right(f"{n}_3", 3))),
         (n, times(f"{n}_4", LATTICE_FACTOR)),
     ]
+
+
+def string_hash(x: str) -> str:
+    """The multiply-add hash of a text's UTF-8 bytes, as one Spark expression."""
+    byte = f"CAST(conv(substr(hex(encode({x}, 'utf-8')), 2 * i - 1, 2), 16, 10) AS BIGINT)"
+    return f"CASE WHEN octet_length({x}) = 0 THEN CAST(0 AS BIGINT) ELSE aggregate(sequence(1, octet_length({x})), CAST(0 AS BIGINT), (a, i) -> (a * 37 + {byte}) & {WORD - 1}) END"

@@ -115,7 +115,7 @@ def math(op: str, a: str, b: str = "0.0", c: str = "0.0") -> str:
 
 
 def map_range(kind: str, x: str, from_low: str, from_high: str, to_low: str, to_high: str, steps: str = "4.0") -> str:
-    """x of one range carried to another: linear, stepped, smoothstep or smootherstep."""
+    """x of one range carried to another: linear, stepped, smoothstep or smootherstep; 0 where the first range is empty."""
     t = divide(f"({x} - {from_low})", f"({from_high} - {from_low})")
     if kind == "stepped":
         t = f"(CASE WHEN {steps} > 0 THEN floor({t} * ({steps} + 1.0)) / {steps} ELSE 0.0 END)"
@@ -124,4 +124,9 @@ def map_range(kind: str, x: str, from_low: str, from_high: str, to_low: str, to_
     elif kind == "smootherstep":
         s = clamp(t)
         t = f"({s} * {s} * {s} * ({s} * ({s} * 6.0 - 15.0) + 10.0))"
-    return f"({to_low} + {t} * ({to_high} - {to_low}))"
+    return f"(CASE WHEN {from_high} <> {from_low} THEN {to_low} + {t} * ({to_high} - {to_low}) ELSE 0.0 END)"
+
+
+def clamp_range(x: str, low: str, high: str) -> str:
+    """x between two bounds in either order."""
+    return f"(CASE WHEN {low} > {high} THEN {clamp(x, high, low)} ELSE {clamp(x, low, high)} END)"

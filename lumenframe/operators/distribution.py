@@ -41,3 +41,17 @@ def pick(points: DataFrame, at: str, ranges: DataFrame, width: Column) -> DataFr
 def compact(rows: DataFrame, key: str, alive: Column, width: int) -> DataFrame:
     """The rows that are alive, numbered from 0 without gaps in the order of key."""
     return running(rows.where(alive), key, F.lit(1), width, "index")
+
+
+def ranked(rows: DataFrame, bucket: str, key: str, width: int, name: str = "place") -> DataFrame:
+    """rows with their place from 1 within their bucket in the order of key; keys are whole numbers that occur once.
+
+    Places are counted within ranges of `width` keys of a bucket, in parallel, and the ranges' counts are scanned, so a
+    bucket of most rows is no window in one task.
+    """
+    part = rows.withColumn("__part", F.floor(F.col(key) / width))
+    counts = part.groupBy(bucket, "__part").count()
+    before = Window.partitionBy(bucket).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(bucket, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    local = F.row_number().over(Window.partitionBy(bucket, "__part").orderBy(key))
+    return part.withColumn("__local", local).join(bases, [bucket, "__part"]).withColumn(name, F.col("__base") + F.col("__local")).drop("__part", "__base", "__local")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.lineage import shared_path
+
 
 def islands(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, island) for every node: island is the smallest node that undirected edges (a, b) lead to.
@@ -14,9 +14,7 @@ def islands(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     Each round takes the least island of all neighbours and then the island of that island, so long chains halve.
     A round's table is checkpointed in spark.checkpoint.dir, and one count a round goes to the driver.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenframe-"))
+    shared_path(nodes.sparkSession, "islands")  # sees to it that there is a folder for checkpoints
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     at = nodes.select("node", F.col("node").alias("island")).distinct().checkpoint()
     for _ in range(rounds):

@@ -39,3 +39,19 @@ def first_hits(hits: DataFrame, n: int) -> DataFrame:
 
     w = Window.partitionBy("ray").orderBy("t", "sphere")
     return hits.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+
+
+def overlaps(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(a, b) of boxes (a, lo0, hi0, lo1, hi1) and (b, lo0, hi0, lo1, hi1) that overlap on both axes, edges included, each pair once.
+
+    Boxes stand in the cells of a grid that they touch and meet by an equal join on cells; a pair is taken in the cell
+    where the common part begins, so nothing has to be made distinct. `size` should be near the boxes' extent.
+    """
+    spread = lambda d: d.withColumn("c0", F.explode(cells(F.col("lo0"), F.col("hi0"), size))).withColumn("c1", F.explode(cells(F.col("lo1"), F.col("hi1"), size)))
+    names = ["lo0", "hi0", "lo1", "hi1"]
+    left, right = spread(a), spread(b).withColumnsRenamed({c: f"b_{c}" for c in names})
+    met = left.join(right, ["c0", "c1"])
+    for i in (0, 1):
+        start = F.greatest(f"lo{i}", f"b_lo{i}")
+        met = met.where((start <= F.least(f"hi{i}", f"b_hi{i}")) & (F.col(f"c{i}") == F.floor(start / size)))
+    return met.select("a", "b")

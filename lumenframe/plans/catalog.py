@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import color, hashing, scalar, texture, vector
@@ -15,13 +16,18 @@ from lumenframe.streaming import progressive
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 #: Inputs of the expression families: small numbers, so that results stay well inside a double's digits.
-A, B, C = "(l_extendedprice / 10000.0 - 3.0)", "(l_quantity / 10.0 - 2.05)", "(l_discount * 5.0 + 0.013)"
+#: They are computed once a row, in a select of their own.
+INPUTS = {
+    "fa": "l_extendedprice / 10000.0 - 3.0", "fb": "l_quantity / 10.0 - 2.05", "fc": "l_discount * 5.0 + 0.013",
+    "fd": "l_tax * 7.0 + 0.11", "fe": "l_discount * 3.0 - 0.17", "ff": "l_quantity / 50.0 + 0.007", "fg": "l_tax + 0.31",
+    "ca_r": "l_discount * 9.0 + 0.03", "ca_g": "l_tax * 11.0 + 0.02", "ca_b": "l_quantity / 51.0",
+    "cb_r": "l_tax * 10.0 + 0.05", "cb_g": "l_quantity / 52.0", "cb_b": "l_discount * 8.0 + 0.01", "ft": "l_quantity / 60.0",
+}
+A, B, C = "fa", "fb", "fc"
 VA = (A, B, C)
-VB = ("(l_tax * 7.0 + 0.11)", "(l_discount * 3.0 - 0.17)", "(l_quantity / 50.0 + 0.007)")
-VC = ("0.25", "(l_tax + 0.31)", "-0.5")
-CA = ("(l_discount * 9.0 + 0.03)", "(l_tax * 11.0 + 0.02)", "(l_quantity / 51.0)")
-CB = ("(l_tax * 10.0 + 0.05)", "(l_quantity / 52.0)", "(l_discount * 8.0 + 0.01)")
-T = "(l_quantity / 60.0)"
+VB = ("fd", "fe", "ff")
+VC = ("0.25", "fg", "-0.5")
+CA, CB, T = ("ca_r", "ca_g", "ca_b"), ("cb_r", "cb_g", "cb_b"), "ft"
 
 
 def _round(x: str, name: str) -> str:
@@ -30,12 +36,13 @@ def _round(x: str, name: str) -> str:
 
 
 def _family(columns: dict[str, str]) -> str:
-    return f"SELECT {KEYS}, " + ", ".join(_round(x, n) for n, x in columns.items()) + " FROM lineitem"
+    inputs = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for n, x in INPUTS.items())
+    return f"SELECT {KEYS}, " + ", ".join(_round(x, n) for n, x in columns.items()) + f" FROM (SELECT {KEYS}, {inputs} FROM lineitem) AS i"
 
 
 def _hsv_family(name: str, v: vector.Vector) -> str:
     # hue, saturation and value in a select of their own: one expression with all would outgrow a method's 64 KB
-    steps = [(f"{c}_{k}", f"CAST({x} AS DOUBLE)") for c, colour in (("a", CA), ("b", CB)) for k, x in zip("rgb", colour, strict=True)] + [("t", T)]
+    steps = [(f"{c}_{k}", f"CAST({INPUTS[x]} AS DOUBLE)") for c, colour in (("a", CA), ("b", CB)) for k, x in zip("rgb", colour, strict=True)] + [("t", INPUTS[T])]
     steps += [(f"{c}_{k}", x) for c in "ab" for k, x in zip("hsv", color.rgb_to_hsv((f"{c}_r", f"{c}_g", f"{c}_b")), strict=True)]
     columns = ", ".join(_round(x, f"{name}_{k}") for k, x in zip("rgb", v, strict=True))
     return f"SELECT {KEYS}, {columns} FROM ({hashing.staged('lineitem', KEYS + ', l_discount, l_tax', steps)}) AS h"
@@ -65,12 +72,19 @@ def _channels(name: str, v: vector.Vector) -> dict[str, str]:
     return {f"{name}_{k}": x for k, x in zip("rgb", v, strict=True)}
 
 
+def _guided() -> str:
+    """Eleven Gaussian taps (radius 5, sigma 1.5) along hours and then along users; cells without samples are skipped, and each weighs by its samples."""
+    taps = " UNION ALL ".join(f"SELECT {k} AS k, CAST({math.exp(-k * k / (2 * 1.5**2)):.12f} AS DOUBLE) AS w" for k in range(-5, 6))
+    sums = "sum(v * w) AS v, sum(c * w) AS c"
+    return f"WITH g AS (SELECT user_id, hour(ts) AS h, sum(value) AS v, CAST(count(*) AS DOUBLE) AS c FROM events GROUP BY user_id, hour(ts)), k AS ({taps}), x AS (SELECT g.user_id, g.h + k AS h, {sums} FROM g CROSS JOIN k GROUP BY g.user_id, g.h + k), xs AS (SELECT x.user_id, x.h, x.v, x.c FROM x JOIN g ON g.user_id = x.user_id AND g.h = x.h), y AS (SELECT xs.user_id + k AS user_id, xs.h, {sums} FROM xs CROSS JOIN k GROUP BY xs.user_id + k, xs.h) SELECT y.user_id, y.h, round(y.v / y.c, 4) AS smooth FROM y JOIN g ON g.user_id = y.user_id AND g.h = y.h"
+
+
 #: Queries whose SQL both engines read; Catalyst plans them from the same text.
 SHARED = {
     "math_unary": _family({op: scalar.math(op, A) for op in scalar.UNARY}),
     "math_binary": _family({op: scalar.math(op, A, B) for op in scalar.BINARY}),
     "math_ternary": _family({op: scalar.math(op, A, B, C) for op in scalar.TERNARY}),
-    "map_range": _family({k: scalar.map_range(k, A, "-1.0", "4.5", "0.2", "2.7") for k in ("linear", "stepped", "smoothstep", "smootherstep")} | {"clamped": scalar.clamp(A)}),
+    "map_range": _family({k: scalar.map_range(k, A, "-1.0", "4.5", "0.2", "2.7") for k in ("linear", "stepped", "smoothstep", "smootherstep")} | {"clamped": scalar.clamp(A), "between": scalar.clamp_range(A, B, C), "empty": scalar.map_range("linear", A, "1.0", "1.0", "0.2", "2.7")}),
     **{f"vec_{op}": _family(_vectors(op)) for op in vector.VECTORS},
     "vec_numbers": _family({op: f(VA, VB) for op, f in vector.NUMBERS.items()}),
     **{f"mix_{op}": _family(_channels(op, color.mix(op, CA, CB, T))) for op in color.CHANNEL},
@@ -92,30 +106,27 @@ SHARED = {
     "tex_checker": _family({"checker": f"CASE WHEN (abs(CAST(floor({A} * 4.0 + 0.0001) AS BIGINT)) % 2 + abs(CAST(floor({B} * 4.0 + 0.0001) AS BIGINT)) % 2 + abs(CAST(floor({C} * 4.0 + 0.0001) AS BIGINT)) % 2) % 2 = 1 THEN 1.0 ELSE 0.0 END"}),
     "tex_gradient": _family({"linear": A, "quadratic": f"greatest({A}, 0.0) * greatest({A}, 0.0)", "easing": f"{scalar.clamp(A)} * {scalar.clamp(A)} * (3.0 - 2.0 * {scalar.clamp(A)})", "diagonal": f"({A} + {B}) * 0.5", "radial": f"atan2({B}, {A}) / 6.283185307179586 + 0.5", "sphere": f"greatest(0.999999 - {vector.length(VA)}, 0.0)"}),
     "film_pass_routing": "SELECT l_suppkey, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 1000 ELSE 0 END), 3) AS direct, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1000 ELSE 0 END), 3) AS indirect FROM lineitem GROUP BY l_suppkey",
-    "dilate_x": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)) SELECT user_id, h, n, min(n) OVER (PARTITION BY user_id ORDER BY h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM g",
-    "gaussian_taps": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)) SELECT user_id, h, round((coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY h), n) + 2.0 * n + coalesce(lead(n) OVER (PARTITION BY user_id ORDER BY h), n)) / 4.0, 4) AS smooth FROM g",
+    "dilate_x": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)), f AS (SELECT user_id, h, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS done FROM g), x AS (SELECT user_id, h, done, min(done) OVER (PARTITION BY user_id ORDER BY h RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM f) SELECT user_id, h, done, low FROM x",
+    "gaussian_taps": _guided(),
     "lookup_default": "SELECT o_orderkey, coalesce(c_nationkey, 0) AS nation, coalesce(c_mktsegment, '') AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
-    "asof_motion": "WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) SELECT a.user_id, a.event_id, round(a.value * 0.75 + coalesce(b.value, a.value) * 0.25, 4) AS moved FROM s a LEFT JOIN s b ON a.user_id = b.user_id AND b.step = a.step + 1",
-    "sort_bucket": "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders",
+    "asof_motion": "WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events), m AS (SELECT user_id, max(step) AS top, (user_id % 101) / 100.0 AS moment FROM s GROUP BY user_id), p AS (SELECT user_id, moment * top AS place, CAST(greatest(least(floor(moment * top), top - 1), 0) AS BIGINT) AS low FROM m) SELECT p.user_id, round(a.value + (coalesce(b.value, a.value) - a.value) * (p.place - p.low), 4) AS moved FROM p JOIN s a ON a.user_id = p.user_id AND a.step = p.low LEFT JOIN s b ON b.user_id = p.user_id AND b.step = p.low + 1",
     "bounds": "SELECT p_brand, min(p_size) AS lo_size, max(p_size) AS hi_size, min(p_retailprice) AS lo_price, max(p_retailprice) AS hi_price, count(*) AS n FROM part GROUP BY p_brand",
-    "aabb_overlap": "SELECT a.p_partkey AS part, b.s_suppkey AS supplier FROM part a JOIN supplier b ON a.p_size = b.s_suppkey % 50 AND a.p_retailprice BETWEEN b.s_acctbal - 500 AND b.s_acctbal + 500",
     "reach_closure": "WITH RECURSIVE reach AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_nationkey AS BIGINT) AS needs FROM nation UNION ALL SELECT node, CAST(floor(needs / 2.0) AS BIGINT) AS needs FROM reach WHERE needs > 0) SELECT node, needs FROM reach",
     "node_dedup": "SELECT p_type, p_size, min(p_partkey) AS node, count(*) AS merged FROM part GROUP BY p_type, p_size",
     "attribute_union": "SELECT p_brand AS name FROM part WHERE p_size < 10 UNION SELECT p_brand AS name FROM part WHERE p_size > 40",
     "dependency_intersection": "SELECT p_type AS name FROM part WHERE p_size < 10 INTERSECT SELECT p_type AS name FROM part WHERE p_size > 40",
     "film_finalise": "SELECT l_suppkey, n, round(r / n, 4) AS combined, CASE WHEN d = 0 THEN 10000000000.0 ELSE CAST(d AS DOUBLE) END AS depth, round(least(greatest(1.0 - m / n, 0.0), 1.0), 4) AS mist, round(exp(-v / n), 4) AS majorant, round(CASE WHEN w > 0 THEN u / w ELSE 0.0 END, 4) AS motion FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 1000) AS r, min(l_quantity - 1) AS d, sum(l_tax) AS m, sum(l_discount) AS v, sum(l_quantity * l_tax) AS u, sum(l_quantity) AS w FROM lineitem GROUP BY l_suppkey) AS f",
-    "half_buffer_error": "SELECT l_suppkey, n, round(abs(a - h) / n / sqrt(greatest(a / n, 0.0001)), 4) AS error FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 1000) AS a, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_extendedprice / 1000 ELSE 0.0 END) AS h FROM lineitem GROUP BY l_suppkey) AS f",
     "extrema_grid": "SELECT cell, lo, hi, n, CAST((hi - lo) * 0.0002 > 1.442 AS INTEGER) AS splits FROM (SELECT o_custkey % 64 AS cell, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders GROUP BY o_custkey % 64) AS g",
     "sah_bins": "SELECT bin, n, lo, hi, CAST(sum(n) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_left, CAST(sum(n) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_right, max(hi) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS hi_left FROM (SELECT bin, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM (SELECT p_size, CAST(floor((p_retailprice - (SELECT min(p_retailprice) FROM part)) / (SELECT max(p_retailprice) - min(p_retailprice) + 0.001 FROM part) * 32.0) AS BIGINT) AS bin FROM part) AS b GROUP BY bin) AS h",
     "named_stats": "SELECT event_type AS name, count(*) AS entries, round(sum(value), 3) AS total, round(avg(value), 4) AS mean FROM events GROUP BY event_type",
-    "dilate_y": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)) SELECT user_id, h, n, min(n) OVER (PARTITION BY h ORDER BY user_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM g",
+    "dilate_y": "WITH g AS (SELECT user_id, hour(ts) AS h, count(*) AS n FROM events GROUP BY user_id, hour(ts)), f AS (SELECT user_id, h, CASE WHEN n >= 2 THEN 1 ELSE 0 END AS done FROM g), x AS (SELECT user_id, h, done, min(done) OVER (PARTITION BY user_id ORDER BY h RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM f) SELECT x.user_id, x.h, x.low AS before, least(x.low, coalesce(u.low, 1), coalesce(d.low, 1)) AS low FROM x LEFT JOIN x u ON u.h = x.h AND u.user_id = x.user_id - 1 LEFT JOIN x d ON d.h = x.h AND d.user_id = x.user_id + 1",
     "light_links": "SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) * CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 4 END) AS links FROM lineitem GROUP BY l_suppkey",
     "time_format": "SELECT doc_id, CASE WHEN c >= 360000 THEN concat(lpad(CAST(CAST(floor(c / 360000.0) AS BIGINT) AS STRING), 2, '0'), ':') ELSE '' END || concat(lpad(CAST(CAST(floor(c / 6000.0) AS BIGINT) % 60 AS STRING), 2, '0'), ':', lpad(CAST(CAST(floor(c / 100.0) AS BIGINT) % 60 AS STRING), 2, '0'), '.', lpad(CAST(c % 100 AS STRING), 2, '0')) AS clock FROM (SELECT doc_id, n_chars * 137 AS c FROM documents) AS d",
-    "str_sizes": "SELECT doc_id, CASE WHEN b < 1024 THEN concat(CAST(b AS STRING), ' B') ELSE concat(CAST(CAST(floor(b * 100 / 1024.0) AS BIGINT) AS STRING), ' K/100') END AS size, CAST(lower(lang) = 'en' AS INTEGER) AS english, trim(substr(text, 1, 20)) AS stripped, CAST(substr(text, 1, 1) = 'T' AS INTEGER) AS starts FROM (SELECT doc_id, text, lang, n_chars AS b FROM documents) AS d",
+    "str_sizes": "SELECT doc_id, CASE WHEN b < 1024 THEN CAST(b AS STRING) ELSE concat(CAST(CAST(floor(q / 100.0) AS BIGINT) AS STRING), '.', lpad(CAST(q % 100 AS STRING), 2, '0'), CASE WHEN b < 1048576 THEN 'K' ELSE 'M' END) END AS size, CAST(lower(lang) = 'en' AS INTEGER) AS english, length(trim(text)) AS stripped, md5(trim(text)) AS stripped_digest, CAST(substr(text, 1, 1) = 'T' AS INTEGER) AS starts FROM (SELECT doc_id, text, lang, b, CAST(floor((CASE WHEN b < 1048576 THEN b ELSE floor(b / 1024.0) END) * 100.0 / 1024.0 + 0.5) AS BIGINT) AS q FROM (SELECT doc_id, text, lang, n_chars AS b FROM documents) AS c) AS d",
     "any_hit": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
     "no_hit": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "visibility_mask": "SELECT o_orderkey, CAST(o_orderkey & 255 AS BIGINT) AS mask FROM orders WHERE (o_orderkey & 6) <> 0",
-    "str_functions": "SELECT doc_id, upper(md5(text)) AS digest, length(text) AS n, substr(text, 1, 12) AS head, replace(substr(text, 1, 40), 'e', 'EE') AS swapped FROM documents",
+    "str_functions": "SELECT doc_id, upper(md5(text)) AS digest, length(text) AS n, substr(text, 1, 12) AS head, length(replace(text, 'e', 'EE')) AS swapped, md5(replace(text, 'e', 'EE')) AS swapped_digest FROM documents",
 }
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
@@ -145,10 +156,42 @@ def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return film.merge(parts, "l_suppkey", ["m"]).select("l_suppkey", "n", F.round("m", 5).alias("m"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    channels = {"r": F.col("l_extendedprice") / 100000, "g": F.col("l_discount"), "b": F.col("l_tax")}
+    odd = F.col("l_linenumber") % 2 == 1
+    sums = channels | {f"h{k}": F.when(odd, 2.0 * x).otherwise(F.lit(0.0)) for k, x in channels.items()}
+    return film.accumulate(table(spark, sf_dir, "lineitem"), "l_suppkey", sums, {}, ORDER), [F.col(k) for k in channels], [F.col(f"h{k}") for k in channels]
+
+
 def converged_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels whose mean and mean of odd samples agree."""
-    d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.avg("l_discount").alias("a"), F.avg(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_discount"))).alias("h"))
-    return d.select("l_suppkey", film.converged(F.col("a"), F.col("h"), F.col("n"), 0.005).cast("int").alias("done"))
+    """Pixels whose sampling error is under 0.3 at an exposure of 1.5."""
+    d, full, half = _halves(spark, sf_dir)
+    return d.select("l_suppkey", film.converged(full, half, F.col("n"), 0.3, 1.5).cast("int").alias("done"))
+
+
+def half_buffer_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling error of each pixel."""
+    d, full, half = _halves(spark, sf_dir)
+    return d.select("l_suppkey", "n", F.round(film.sampling_error(full, half, F.col("n"), 1.5), 4).alias("error"))
+
+
+def merge_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial results by line status: a mean by samples, a sum, and a copy of the first."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_discount").alias("m"), F.sum("l_quantity").alias("s"), F.max("l_partkey").alias("c"))
+    return film.merge(parts, "l_suppkey", ["m"], sums=("s",), copies=("c",), order="l_linestatus").select("l_suppkey", "n", F.round("m", 5).alias("m"), "s", "c")
+
+
+def aabb_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers whose boxes overlap on both axes."""
+    box = lambda d, key, name, x, y: d.select(F.col(key).alias(name), x.alias("lo0"), (x + 1.5).alias("hi0"), y.alias("lo1"), (y + 2.5).alias("hi1"))
+    a = box(table(spark, sf_dir, "part"), "p_partkey", "a", F.col("p_size").cast("double"), F.col("p_retailprice") / 20)
+    b = box(table(spark, sf_dir, "supplier"), "s_suppkey", "b", F.col("s_acctbal") / 200, F.col("s_acctbal") / 100)
+    return spatial.overlaps(a, b, 4.0).select(F.col("a").alias("part"), F.col("b").alias("supplier"))
+
+
+def sort_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered within their priority."""
+    return distribution.ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", RANGE)
 
 
 def matte_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,24 +249,23 @@ def prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of customers, each linked with a few others."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), "c_nationkey")
-    edges = c.where("node % 3 <> 0").select(F.col("node").alias("a"), F.floor(F.col("node") / 7).alias("b")).join(c.select(F.col("node").alias("b")), "b")
+    """Connected components of customers, each linked with the one as many keys on as its balance tells."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") + F.floor(F.abs(F.col("c_acctbal"))) + 1).cast("long").alias("to"))
+    edges = c.select(F.col("node").alias("a"), F.col("to").alias("b")).join(c.select(F.col("node").alias("b")), "b")
     return graph.islands(c.select("node"), edges)
 
 
 def hash_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The multiply-add hash of part names."""
-    mixed = "aggregate(split(p_name, ''), CAST(0 AS BIGINT), (a, c) -> (a * 37 + ascii(c)) & 4294967295)"
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(mixed).alias("mixed"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(hashing.string_hash("p_name")).alias("mixed"))
 
 
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream."""
-    return progressive.accumulate(spark, f"{sf_dir}/events.parquet", "stream_accumulate")
+    return progressive.accumulate(spark, f"{sf_dir}/events.parquet")
 
 
-NATIVE = (cdf_build, cdf_pick, active_index, prefix_sum, islands, hash_string, film_accumulate, merge_partials, converged_mask, matte_topk, nearest_hit, all_hits_n, stream_accumulate)
+NATIVE = (cdf_build, cdf_pick, active_index, prefix_sum, islands, hash_string, film_accumulate, merge_partials, converged_mask, half_buffer_error, merge_modes, aabb_overlap, sort_bucket, matte_topk, nearest_hit, all_hits_n, stream_accumulate)
 _CAST = "SELECT ray, sphere, t FROM (SELECT ray, sphere, CASE WHEN sz - z - h > 0 THEN sz - z - h ELSE sz - z + h END AS t FROM (SELECT *, sqrt(greatest(q, 0)) AS h FROM (SELECT *, r * r - (x - sx) * (x - sx) - (y - sy) * (y - sy) AS q FROM (SELECT c_custkey AS ray, (c_custkey % 97) / 10 AS x, (c_custkey % 89) / 10 AS y, -5.0::DOUBLE AS z FROM customer) a CROSS JOIN (SELECT s_suppkey AS sphere, (s_suppkey % 83) / 8 AS sx, (s_suppkey % 79) / 8 AS sy, (s_suppkey % 7)::DOUBLE AS sz, 0.77::DOUBLE AS r FROM supplier) b) WHERE q >= 0)) WHERE t > 0"
 _LIGHTS = "SELECT s_suppkey, CAST(coalesce(sum(w) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo, CAST(sum(w) OVER (ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM (SELECT s_suppkey, CAST(greatest(round(s_acctbal * 100), 0) AS BIGINT) + 1 AS w FROM supplier) AS s"
 SQL = {
@@ -231,11 +273,15 @@ SQL = {
     "cdf_pick": f"WITH c AS ({_LIGHTS}), p AS (SELECT o_orderkey, o_orderkey * 7919 % (SELECT max(hi) FROM c) AS place FROM orders) SELECT o_orderkey, place, s_suppkey FROM p JOIN c ON place >= lo AND place < hi",
     "active_index": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders WHERE o_orderstatus = 'O'",
     "prefix_sum": "SELECT l_orderkey, n, CAST(coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) AS s",
-    "islands": "WITH RECURSIVE e AS (SELECT c_custkey AS a, CAST(floor(c_custkey / 7) AS BIGINT) AS b FROM customer WHERE c_custkey % 3 <> 0 AND floor(c_custkey / 7) IN (SELECT c_custkey FROM customer)), r AS (SELECT c_custkey AS node, c_custkey AS up FROM customer UNION SELECT node, b AS up FROM r JOIN e ON up = a) SELECT node, min(up) AS island FROM r GROUP BY node",
-    "hash_string": "SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 37 + c) & 4294967295) AS mixed FROM part",
+    "islands": "WITH RECURSIVE d AS (SELECT c_custkey AS a, CAST(c_custkey + floor(abs(c_acctbal)) + 1 AS BIGINT) AS b FROM customer), e AS (SELECT a, b FROM d WHERE b IN (SELECT a FROM d) UNION SELECT b AS a, a AS b FROM d WHERE b IN (SELECT a FROM d)), r AS (SELECT c_custkey AS node, c_custkey AS up FROM customer UNION SELECT node, b AS up FROM r JOIN e ON up = a) SELECT node, min(up) AS island FROM r GROUP BY node",
+    "merge_modes": "SELECT l_suppkey, count(*) AS n, round(avg(l_discount), 5) AS m, sum(l_quantity) AS s, max(CASE WHEN l_linestatus = first THEN l_partkey END) AS c FROM (SELECT *, min(l_linestatus) OVER (PARTITION BY l_suppkey) AS first FROM lineitem) AS l GROUP BY l_suppkey",
+    "aabb_overlap": "SELECT p_partkey AS part, s_suppkey AS supplier FROM part JOIN supplier ON p_size <= s_acctbal / 200 + 1.5 AND s_acctbal / 200 <= p_size + 1.5 AND p_retailprice / 20 <= s_acctbal / 100 + 2.5 AND s_acctbal / 100 <= p_retailprice / 20 + 2.5",
+    "sort_bucket": "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place FROM orders",
+    "hash_string": "SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_filter(range(1, 2 * octet_length(encode(p_name))), lambda i: i % 2 = 1), lambda i: CAST((strpos('0123456789ABCDEF', substr(hex(encode(p_name)), i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode(p_name)), i + 1, 1)) - 1 AS BIGINT))), lambda a, c: (a * 37 + c) & 4294967295) AS mixed FROM part",
     "film_accumulate": f"SELECT l_suppkey, count(*) AS n, round(sum(l_extendedprice / 1000) / count(*), 4) AS r, round(sum(l_discount) / count(*), 4) AS g, round(sum(l_tax) / count(*), 4) AS b, arg_min(l_quantity, ROW({', '.join(ORDER)})) AS depth FROM lineitem GROUP BY l_suppkey",
     "merge_partials": "SELECT l_suppkey, count(*) AS n, round(avg(l_discount), 5) AS m FROM lineitem GROUP BY l_suppkey",
-    "converged_mask": "SELECT l_suppkey, CASE WHEN abs(a - h) / sqrt(greatest(a, 0.0001)) < 0.005 THEN 1 ELSE 0 END AS done FROM (SELECT l_suppkey, avg(l_discount) AS a, avg(CASE WHEN l_linenumber % 2 = 1 THEN l_discount END) AS h FROM lineitem GROUP BY l_suppkey)",
+    "converged_mask": "SELECT l_suppkey, CASE WHEN ((abs(r - hr) + abs(g - hg) + abs(b - hb)) * 1.5 / n) / (0.0001 + CASE WHEN (r + g + b) * 1.5 / n < 1 THEN sqrt((r + g + b) * 1.5 / n) ELSE (r + g + b) * 1.5 / n END) < 0.3 THEN 1 ELSE 0 END AS done FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 100000) AS r, sum(l_discount) AS g, sum(l_tax) AS b, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_extendedprice / 100000 ELSE 0.0 END) AS hr, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_discount ELSE 0.0 END) AS hg, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_tax ELSE 0.0 END) AS hb FROM lineitem GROUP BY l_suppkey) AS f",
+    "half_buffer_error": "SELECT l_suppkey, n, round(((abs(r - hr) + abs(g - hg) + abs(b - hb)) * 1.5 / n) / (0.0001 + CASE WHEN (r + g + b) * 1.5 / n < 1 THEN sqrt((r + g + b) * 1.5 / n) ELSE (r + g + b) * 1.5 / n END), 4) AS error FROM (SELECT l_suppkey, count(*) AS n, sum(l_extendedprice / 100000) AS r, sum(l_discount) AS g, sum(l_tax) AS b, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_extendedprice / 100000 ELSE 0.0 END) AS hr, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_discount ELSE 0.0 END) AS hg, sum(CASE WHEN l_linenumber % 2 = 1 THEN 2.0 * l_tax ELSE 0.0 END) AS hb FROM lineitem GROUP BY l_suppkey) AS f",
     "matte_topk": "SELECT l_suppkey, slot, l_partkey, weight FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS INTEGER) AS slot FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY l_suppkey, l_partkey)) WHERE slot <= 4",
     "nearest_hit": f"SELECT ray, arg_min(sphere, ROW(t, sphere)) AS sphere, round(min(t), 5) AS t FROM ({_CAST}) GROUP BY ray",
     "all_hits_n": f"SELECT ray, sphere, round(t, 5) AS t, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ray ORDER BY t, sphere) AS INTEGER) AS nth FROM ({_CAST})) WHERE nth <= 3",

@@ -87,6 +87,36 @@ def pcg2d(name: str, x: str, y: str) -> Steps:
     ]
 
 
+def _times_word(x: str, y: str) -> str:
+    # both are words: by halves of 16 bits of the first
+    return cut(f"({x} & 65535) * {y} + (({right(x, 16)} * {y}) & 65535) * 65536")
+
+
+def _pcg(name: str, keys: tuple[str, ...], rounds: tuple[tuple[int, int, int], ...]) -> Steps:
+    """The multiply-add hash of several words: each round adds to one word the product of two, before and after a fold by the upper half."""
+    steps = [(f"{name}_s{i}", cut(f"{times(f'CAST({k} AS BIGINT)', PCG_FACTOR)} + {PCG_STEP}")) for i, k in enumerate(keys)]
+    at = [f"{name}_s{i}" for i in range(len(keys))]
+    fold = lambda a: xor(a, f"({right(a, 16)} + (CASE WHEN {a} >= {WORD >> 1} THEN 4294901760 ELSE 0 END))")
+    for turn in (0, 1):
+        for n, (to, a, b) in enumerate(rounds):
+            steps.append((f"{name}_{turn}r{n}", cut(f"{at[to]} + {_times_word(at[a], at[b])}")))
+            at[to] = f"{name}_{turn}r{n}"
+        if not turn:
+            steps += [(f"{name}_f{i}", fold(x)) for i, x in enumerate(at)]
+            at = [f"{name}_f{i}" for i in range(len(keys))]
+    return [*steps, *[(f"{name}_{k}", f"({x} & {(WORD >> 1) - 1})") for k, x in zip("xyzw", at, strict=False)]]
+
+
+def pcg3d(name: str, x: str, y: str, z: str) -> Steps:
+    """Steps of the three-dimensional multiply-add hash; results of 31 bits."""
+    return _pcg(name, (x, y, z), ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+
+def pcg4d(name: str, x: str, y: str, z: str, w: str) -> Steps:
+    """Steps of the four-dimensional multiply-add hash; results of 31 bits."""
+    return _pcg(name, (x, y, z, w), ((0, 1, 3), (1, 2, 0), (2, 0, 1), (3, 1, 2)))
+
+
 def prospector(name: str, x: str) -> Steps:
     """Steps of the xorshift-multiply hash."""
     steps, at = [(f"{name}_0", cut(x))], f"{name}_0"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import color, hashing, scalar, texture, vector
 from lumenframe.operators import distribution, film, graph, spatial
+from lumenframe.plans import rendering
 from lumenframe.streaming import progressive
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -291,9 +292,9 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    return {name: partial(shared, sql) for name, sql in SHARED.items()} | {f.__name__: f for f in NATIVE}
+    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES).items()} | {f.__name__: f for f in NATIVE}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    return SHARED | SQL
+    return SHARED | rendering.QUERIES | SQL

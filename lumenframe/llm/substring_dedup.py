@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, flat, hot_keys, spread_join
+from lumenframe.llm.common import bucketed, cut, flat, hot_keys, spread_join
 from lumenframe.llm.wordhash import blocks, lowest, ranges, spans, windows, word_hashes
 
 
@@ -87,7 +87,7 @@ def _anchors(parts: Iterator[pa.RecordBatch], length: int, level: int, before: i
 
 
 def _extended(parts: Iterator[pa.RecordBatch], length: int, before: int) -> Iterator[pa.RecordBatch]:
-    """The full windows, by two hashes, whose low of the level before is among the row's open ones."""
+    """The full windows, by two hashes, whose low of the level before is among the row's open ones; each once a text."""
     for part in parts:
         keys, marks = np.asarray(part.column("doc")), np.asarray(part.column("mark"))
         values, at = flat(part.column("open"))
@@ -95,8 +95,12 @@ def _extended(parts: Iterator[pa.RecordBatch], length: int, before: int) -> Iter
             t = _Texts(data, offsets, length)
             some = np.flatnonzero(t.among(t.low(before), values, at[rows.start : rows.stop + 1]))
             if len(some):
-                who = t.text[some]
-                yield pa.RecordBatch.from_arrays([pa.array(t.full()[some].view(np.int64)), pa.array(t.full(1)[some].view(np.int64)), pa.array(keys[rows][who]), pa.array(marks[rows][who])], names=["one", "two", "doc", "mark"])
+                one, two, who = t.full()[some].view(np.int64), t.full(1)[some].view(np.int64), t.text[some]
+                order = np.lexsort((two, one, who))
+                one, two, who = one[order], two[order], who[order]
+                new = np.ones(len(who), dtype=bool)
+                new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (who[1:] != who[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(one[new]), pa.array(two[new]), pa.array(keys[rows][who[new]]), pa.array(marks[rows][who[new]])], names=["one", "two", "doc", "mark"])
 
 
 def _among(x: np.ndarray, text: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -157,7 +161,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     id among them settles it. Only the others are extended to twice the length and compared again, level by level until
     none is left or the full length is reached, where 128 bits of hash decide. A hash that many documents have is one row
     by task before it is counted and is dealt to several tasks where it is joined; lists of hashes are lists of one
-    document's own.
+    document's own. Texts are dealt to buckets by id once, so no level shuffles them again.
     """
     if clash := {"n_words", "n_removed", "kept"} & (set(docs.columns) - {text_col}):
         raise ValueError(f"the table already has {sorted(clash)}")
@@ -165,6 +169,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     rest = F.struct(*[F.col(c) for c in others], F.lit(0).alias("__none"))
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest")).withColumn("mark", F.xxhash64("text"))
     kind = d.schema["rest"].dataType.simpleString()
+    d = bucketed(d, ["doc", "mark"])
     known = d.where("doc is not null").select("doc", "text", "mark")
     steps, before, read, settled = levels(length), None, known, []
     for k in steps[:-1]:
@@ -183,7 +188,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     else:
         if before is None:  # a length of one level: nothing is left out beforehand
             raise ValueError(f"windows must be longer than {SHORTEST} words")
-        longer = cut(read.mapInArrow(lambda p: _extended(p, length, before), "one long, two long, doc long, mark long").distinct())
+        longer = cut(read.mapInArrow(lambda p: _extended(p, length, before), "one long, two long, doc long, mark long"))
         least = cut(longer.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("one", "two", "lo", "n"))
         hot = hot_keys(least, ["one", "two"], "n", longer.count())
         full = spread_join(longer, least.drop("n"), ["one", "two"], hot, "doc").where("doc > lo").groupBy("doc", "mark").agg(F.collect_set("one").alias("gone"))

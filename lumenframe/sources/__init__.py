@@ -1 +1 @@
-"""See the module names."""
+"""Readers and writers of scene descriptions and tiled results."""

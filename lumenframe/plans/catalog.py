@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import color, hashing, scalar, texture, vector
 from lumenframe.operators import distribution, film, graph, spatial
-from lumenframe.plans import rendering, scenes, textures
+from lumenframe.plans import helpers, rendering, scenes, textures
 from lumenframe.streaming import progressive
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -292,9 +292,9 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | textures.QUERIES).items()} | {f.__name__: f for f in NATIVE + scenes.NATIVE}
+    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES).items()} | {f.__name__: f for f in NATIVE + scenes.NATIVE}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    return SHARED | rendering.QUERIES | textures.QUERIES | SQL | scenes.SQL
+    return SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | SQL | scenes.SQL

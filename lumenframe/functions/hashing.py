@@ -31,12 +31,12 @@ def xor(a: str, b: str) -> str:
 
 def right(x: str, bits: int) -> str:
     """x without its lowest bits."""
-    return f"CAST(floor({x} / {1 << bits}.0) AS BIGINT)"
+    return f"({x} >> {bits})"
 
 
 def left(x: str, bits: int) -> str:
     """x moved up; what leaves the word is lost."""
-    return f"(({x} & {(1 << 32 - bits) - 1}) * {1 << bits})"
+    return f"(({x} & {(1 << 32 - bits) - 1}) << {bits})"
 
 
 def times(x: str, factor: int) -> str:

@@ -2,8 +2,8 @@
 
 The corners of a cell, the octaves of a sum and the cells around a point are independent of each other, so their hashes
 advance side by side: one level holds the same step of all of them. `leveled` writes a select per level that carries only what
-later levels still name, so that rows stay narrow. Up to about sixteen corners (two octaves in space, four in the plane)
-fit one generated method; beyond that Spark leaves whole-stage code generation and evaluates select by select.
+later levels still name, so that rows stay narrow. About a dozen corners (three octaves in the plane, one in space) fit
+one generated method; beyond that Spark leaves whole-stage code generation and evaluates select by select.
 """
 
 from __future__ import annotations

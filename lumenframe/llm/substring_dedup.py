@@ -115,15 +115,22 @@ def _among(x: np.ndarray, text: np.ndarray, values: np.ndarray, at: np.ndarray)
 
 
 def _removed(parts: Iterator[pa.RecordBatch], length: int, with_text: bool, steps: list[int]) -> Iterator[pa.RecordBatch]:
-    """Each document's counts, and the digest of what is left or the text itself."""
+    """Each document's counts, and the digest of what is left or the text itself.
+
+    The levels are walked as they were compared: what one settles holds only for full windows that the one before left open.
+    """
     for part in parts:
-        lists = {k: flat(part.column(f"gone{k}")) for k in steps}
+        lists = {k: (flat(part.column(f"gone{k}")), flat(part.column(f"open{k}"))) for k in steps}
         for rows, data, offsets in blocks(part.column("text")):
             t = _Texts(data, offsets, length)
-            gone = np.zeros(len(t.at), dtype=bool)
-            for k, (values, at) in lists.items():
-                if len(t.at) and at[rows.stop] > at[rows.start]:
-                    gone |= t.among(t.full().view(np.int64) if k == length else t.low(k), values, at[rows.start : rows.stop + 1])
+            gone, left_open = np.zeros(len(t.at), dtype=bool), np.ones(len(t.at), dtype=bool)
+            for k, ((shut, at), (still, to)) in lists.items():
+                at, to = at[rows.start : rows.stop + 1], to[rows.start : rows.stop + 1]
+                if not left_open.any() or (at[-1] == at[0] and to[-1] == to[0]):
+                    break  # no text here went on to this level
+                low = t.full().view(np.int64) if k == length else t.low(k)
+                gone |= left_open & t.among(low, shut, at)
+                left_open &= t.among(low, still, to)
             cover = np.zeros(len(t.hashes) + 1, dtype=np.int64)
             np.add.at(cover, t.at[gone], 1)
             np.add.at(cover, t.at[gone] + length, -1)
@@ -159,7 +166,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     A first level looks at windows of SHORTEST words or a few less, of each full window the one with the smallest hash.
     What occurs in one document alone is out. Where all documents agree on the words around such a window, the smallest
     id among them settles it. Only the others are extended to twice the length and compared again, level by level until
-    none is left or the full length is reached, where 128 bits of hash decide. A hash that many documents have is one row
+    none is left or the full length is reached, where 128 bits of hash decide between documents and 64 of them tell a
+    document's own windows apart. A hash that many documents have is one row
     by task before it is counted and is dealt to several tasks where it is joined; lists of hashes are lists of one
     document's own. Texts are dealt to buckets by id once, so no level shuffles them again.
     """
@@ -179,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
         hot = hot_keys(facts, ["low"], "n", anchors.count())
         found = spread_join(anchors, facts.drop("n"), ["low"], hot, "doc").where("not same or doc > lo")
         lists = cut(found.groupBy("doc", "mark").agg(F.collect_set(F.when(F.col("same"), F.col("low"))).alias("shut"), F.collect_set(F.when(~F.col("same"), F.col("low"))).alias("open")))
-        settled.append(lists.where("size(shut) > 0").select("doc", "mark", F.lit(k).alias("level"), F.col("shut").alias("gone")))
+        settled.append(lists.select("doc", "mark", F.lit(k).alias("level"), F.col("shut").alias("gone"), "open"))
         open_ = lists.where("size(open) > 0").select("doc", "mark", "open")
         before = k
         if open_.isEmpty():
@@ -192,13 +200,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
         least = cut(longer.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("one", "two", "lo", "n"))
         hot = hot_keys(least, ["one", "two"], "n", longer.count())
         full = spread_join(longer, least.drop("n"), ["one", "two"], hot, "doc").where("doc > lo").groupBy("doc", "mark").agg(F.collect_set("one").alias("gone"))
-        settled.append(full.select("doc", "mark", F.lit(length).alias("level"), "gone"))
+        settled.append(full.select("doc", "mark", F.lit(length).alias("level"), "gone", F.array().cast("array<long>").alias("open")))
     lists = settled[0]
     for one in settled[1:]:
         lists = lists.unionByName(one)
-    lists = cut(lists.groupBy("doc", "mark").agg(*[F.first(F.when(F.col("level") == k, F.col("gone")), ignorenulls=True).alias(f"gone{k}") for k in steps]))
+    lists = cut(lists.groupBy("doc", "mark").agg(*[F.first(F.when(F.col("level") == k, F.col(c)), ignorenulls=True).alias(f"{c}{k}") for k in steps for c in ("gone", "open")]))
     none = F.array().cast("array<long>")
-    each = d.join(lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", *[F.coalesce(f"gone{k}", none).alias(f"gone{k}") for k in steps])
+    each = d.join(lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", *[F.coalesce(f"{c}{k}", none).alias(f"{c}{k}") for k in steps for c in ("gone", "open")])
     out = each.mapInArrow(lambda p: _removed(p, length, with_text, steps), f"row long, rest {kind}, n_words long, n_removed long, kept string")
     return out.select(F.col("row").alias(id_col), *[F.col(f"rest.{c}").alias(c) for c in others], "n_words", "n_removed", "kept")
 

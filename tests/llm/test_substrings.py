@@ -1,6 +1,7 @@
 """Substring removal against brute force: every level, hot passages, repeated rows, odd rows, the query."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -9,6 +10,7 @@ from lumenframe.llm import common, substring_dedup
 from lumenframe.llm.substring_dedup import levels, remove_repeats
 
 SCHEMA = "doc_id long, text string, doc string, low int"
+GIVEN = "/root/testdata/sf0.01"
 
 
 def words(t):
@@ -87,3 +89,13 @@ def test_query(spark, tmp_path):
     got = substring_dedup.op9_doubling_windows(spark, str(tmp_path)).collect()
     want = [(i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in brute(rows)]
     assert sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in got), key=str) == want
+
+
+def test_given_documents(spark):
+    """All documents of the given small table, whole."""
+    if not os.path.exists(GIVEN):
+        pytest.skip("the given tables are not here")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", "text").collect()]
+    got = substring_dedup.op9_doubling_windows(spark, GIVEN).collect()
+    want = [(i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in brute(rows)]
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in got), key=str) == want

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.ball_kmeans import OP11_SQL, op11_ball_kmeans
 from lumenframe.llm.byte_bpe import op10_ranked_merges
 from lumenframe.llm.chat_format import OP7_SQL, op7_preference_pairs
 from lumenframe.llm.embedding_dedup import op3_pca_tiles
+from lumenframe.llm.lexical_search import OP13_SQL, op13_wand_shards
 from lumenframe.llm.mixing import op6_golden_mix
 from lumenframe.llm.order_minhash import op5_order_minhash
 from lumenframe.llm.quality_model import op8_random_indexing
@@ -29,6 +31,8 @@ OPERATORS = (
     op8_random_indexing,
     op9_doubling_windows,
     op10_ranked_merges,
+    op11_ball_kmeans,
+    op13_wand_shards,
 )
 
 
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query; the others are tested against brute force in tests/llm."""
-    return {"op7_preference_pairs": OP7_SQL}
+    return {"op7_preference_pairs": OP7_SQL, "op11_ball_kmeans": OP11_SQL, "op13_wand_shards": OP13_SQL}

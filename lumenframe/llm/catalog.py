@@ -13,6 +13,7 @@ from lumenframe.llm.embedding_dedup import op3_pca_tiles
 from lumenframe.llm.lexical_search import OP13_SQL, op13_wand_shards
 from lumenframe.llm.mixing import op6_golden_mix
 from lumenframe.llm.order_minhash import op5_order_minhash
+from lumenframe.llm.probe_search import op12_multiprobe_products
 from lumenframe.llm.quality_model import op8_random_indexing
 from lumenframe.llm.quality_rules import op4_divergence_rules
 from lumenframe.llm.sharding import op1_feistel_shards
@@ -32,6 +33,7 @@ OPERATORS = (
     op9_doubling_windows,
     op10_ranked_merges,
     op11_ball_kmeans,
+    op12_multiprobe_products,
     op13_wand_shards,
 )
 

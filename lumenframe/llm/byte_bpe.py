@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import kept
+
 #: White space by the Unicode property, which is what the pattern's class means to the tokenizer: fixed values.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
@@ -26,7 +28,7 @@ CACHE = 250_000
 BLOCK = 1 << 21
 
 
-@lru_cache(4)
+@lru_cache(1)
 def ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file: a line a token, base64 and rank."""
     with open(path, "rb") as lines:
@@ -127,13 +129,11 @@ class ByteEncoder:
         return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-ENCODERS: dict[tuple[str, str], ByteEncoder] = {}
-
-
 def _encoder(path: str, pattern: str) -> ByteEncoder:
-    if (path, pattern) not in ENCODERS:
-        ENCODERS[path, pattern] = ByteEncoder(path, pattern)
-    return ENCODERS[path, pattern]
+    held = kept("byte_bpe")
+    if (path, pattern) not in held:
+        held[path, pattern] = ByteEncoder(path, pattern)
+    return held[path, pattern]
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

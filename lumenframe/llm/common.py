@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,33 @@ def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     return table
 
 
+#: What a worker keeps from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What this worker keeps for an operator. What it keeps for others goes: a worker lives on from stage to stage."""
+    for other in KEPT.keys() - {name}:
+        KEPT.pop(other)
+    return KEPT.setdefault(name, {})
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, by a worker that first drops what other operators keep in it and gives freed memory back at the end."""
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(name)
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

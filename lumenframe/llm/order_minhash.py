@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, cut, hot_keys, spread_join
+from lumenframe.llm.common import components, cut, hot_keys, lean, spread_join
 from lumenframe.llm.wordhash import blocks, mixed, ranges, windows, word_hashes
 
 #: Words in a k-mer, k-mers in a sample, and samples. At a similarity of 0.8 a sample is shared with a probability of
@@ -213,13 +213,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     bucket. First all documents of a bucket are held against its smallest, which links most of a group of copies in as
     many comparisons as it has members. Links within what is linked by then change nothing; buckets that still cross
     components are compared whole: small ones pair by pair, large ones by pairs of tiles, where one matrix product
-    tells the k-mers that each two documents share. A pair of tiles gives a spanning set of links, never all pairs. No
-    link between components is lost and nothing is capped.
+    tells the k-mers that each two documents share. A component that would fill a tile has its own, which do not meet one
+    another. A pair of tiles gives a spanning set of links, never all pairs. No link between components is lost and
+    nothing is capped.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = d.where("doc is not null")
-    prints = cut(known.mapInArrow(_sketched, "doc long, one long, two long, words long, size long, sketch array<long>"))
-    classes = cut(prints.where("words > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    prints = cut(known.mapInArrow(lean(_sketched), "doc long, one long, two long, words long, size long, sketch array<long>"))
+    classes = cut(prints.where("words > 0").groupBy("one", "two").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("many")))
     rows = classes.select("rep", "size", F.posexplode("sketch").alias("s", "sig"))
     shared = rows.groupBy("s", "sig").count().where("count > 1").select("s", "sig")
     buckets = cut(rows.join(shared, ["s", "sig"]).select(F.xxhash64("s", "sig").alias("bucket"), F.col("rep").alias("doc"), "size"))
@@ -234,7 +235,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
         # a document may be in many pairs on either side; both joins deal such documents to several tasks
         often = lambda c: hot_keys(pairs.groupBy(c).count(), [c], "count", total)
         full = spread_join(spread_join(pairs, left, ["a"], often("a"), "b"), right, ["b"], often("b"), "a")
-        return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(lambda p: _verified(p, similarity), "a long, b long"))
+        return cut(full.select("a", "b", "text_a", "text_b").mapInArrow(lean(lambda p: _verified(p, similarity)), "a long, b long"))
 
     pivots = cut(buckets.groupBy("bucket").agg(F.min(F.struct("doc", "size")).alias("p"), F.count("*").alias("g")).select("bucket", F.col("p.doc").alias("b"), F.col("p.size").alias("size_b"), "g"))
     large = cut(hot_keys(pivots, ["bucket"], "g", buckets.count()))
@@ -248,18 +249,29 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     few = active.where(F.col("g") <= SMALL)
     other = few.select("bucket", F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
     pairs = few.join(other, "bucket").where((F.col("doc") < F.col("b")) & (F.col("part") != F.col("part_b")) & fits).select(F.col("doc").alias("a"), "b").distinct()
-    tiles_of = F.greatest(F.ceil(F.col("g") / TILE), F.ceil(F.col("all") / TILE_KMERS))
-    many = active.where(F.col("g") > SMALL).withColumn("tiles", tiles_of).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")))
-    tiles = cut(many.join(texts, "doc").groupBy("bucket", "tile", "tiles").agg(F.collect_list(F.struct("doc", "part", "text")).alias("held")))
-    meet = tiles.select("bucket", "tile", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("other"))
-    full = meet.join(tiles.select("bucket", "tile", F.col("held").alias("left")), ["bucket", "tile"]).join(tiles.select("bucket", F.col("tile").alias("other"), F.col("held").alias("right")), ["bucket", "other"])
-    tiled = cut(full.select("left", "right", (F.col("tile") == F.col("other")).alias("same")).mapInArrow(lambda p: _tiled(p, similarity), "a long, b long"))
+    # a part that would fill a tile has tiles of its own, which need not meet one another; the others share tiles
+    tiles_of = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("all") / TILE_KMERS))
+    many = active.where(F.col("g") > SMALL).select("bucket", "doc", "size", "part")
+    parts = many.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("size").alias("all")).withColumn("own", F.when(F.col("n") >= TILE, F.col("part")))
+    counts = parts.groupBy("bucket", "own").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).select(F.col("bucket").alias("in"), F.col("own").alias("of"), tiles_of.alias("tiles"))
+    parts = cut(parts.join(counts, (F.col("bucket") == F.col("in")) & F.col("own").eqNullSafe(F.col("of"))).select("bucket", "part", "own", "n", "tiles"))
+    placed = spread_join(many, parts.drop("n"), ["bucket", "part"], hot_keys(parts, ["bucket", "part"], "n", active.count()), "doc")
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles"))).join(texts, "doc")
+    tiles = cut(placed.groupBy("bucket", "own", "tile").agg(F.collect_list(F.struct("doc", "part", "text")).alias("held")).withColumn("id", F.monotonically_increasing_id()))
+    side = lambda s: tiles.select("bucket", F.col("own").alias(f"own_{s}"), F.col("id").alias(s))
+    mixed_a, mixed_b, own_a, own_b = side("a").where("own_a is null"), side("b").where("own_b is null"), side("a").where("own_a is not null"), side("b").where("own_b is not null")
+    owners = own_a.select("bucket", "own_a").distinct().join(own_b.select("bucket", "own_b").distinct(), "bucket").where("own_a < own_b")
+    meet = mixed_a.join(mixed_b, "bucket").where("a <= b").select("a", "b").unionByName(own_a.join(mixed_b, "bucket").select("a", "b")).unionByName(owners.join(own_a, ["bucket", "own_a"]).join(own_b, ["bucket", "own_b"]).select("a", "b"))
+    full = cut(meet).join(tiles.select(F.col("id").alias("a"), F.col("held").alias("left")), "a").join(tiles.select(F.col("id").alias("b"), F.col("held").alias("right")), "b")
+    tiled = cut(full.select("left", "right", (F.col("a") == F.col("b")).alias("same")).mapInArrow(lean(lambda p: _tiled(p, similarity)), "a long, b long"))
     # what the pivots joined is one node now
     more = check(pairs).unionByName(tiled).join(at("a"), "a", "left").join(at("b"), "b", "left")
     second = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    named = classes.select("one", "two", "rep").join(at("rep"), "rep", "left").withColumn("node", F.coalesce("rep_root", "rep")).join(second, "node", "left")
-    named = named.select("one", "two", "rep", F.coalesce("root", "node").alias("root"))
-    full = prints.where("words > 0").join(named, ["one", "two"]).select("doc", F.col("root").alias("class_id"), F.col("rep").alias("copy_of"))
+    named = classes.select("one", "two", "rep", "many").join(at("rep"), "rep", "left").withColumn("node", F.coalesce("rep_root", "rep")).join(second, "node", "left")
+    named = cut(named.select("one", "two", "rep", "many", F.coalesce("root", "node").alias("root")))
+    # a large group of exact copies is one key
+    copies = hot_keys(named, ["one", "two"], "many", prints.count())
+    full = spread_join(prints.where("words > 0").select("doc", "one", "two"), named.drop("many"), ["one", "two"], copies, "doc").select("doc", F.col("root").alias("class_id"), F.col("rep").alias("copy_of"))
     alone = prints.where("words = 0").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))
     nobody = d.where("doc is null").select("doc", F.col("doc").alias("class_id"), F.col("doc").alias("copy_of"))
     out = full.unionByName(alone).unionByName(nobody)

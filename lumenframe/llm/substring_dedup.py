@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import bucketed, cut, flat, hot_keys, spread_join
+from lumenframe.llm.common import bucketed, cut, flat, hot_keys, lean, spread_join
 from lumenframe.llm.wordhash import blocks, lowest, ranges, spans, windows, word_hashes
 
 
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     known = d.where("doc is not null").select("doc", "text", "mark")
     steps, before, read, settled = levels(length), None, known, []
     for k in steps[:-1]:
-        anchors = cut(read.mapInArrow(lambda p, k=k, before=before: _anchors(p, length, k, before), "low long, span long, doc long, mark long"))
+        anchors = cut(read.mapInArrow(lean(lambda p, k=k, before=before: _anchors(p, length, k, before)), "low long, span long, doc long, mark long"))
         facts = anchors.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("span").alias("a"), F.max("span").alias("b"), F.count("*").alias("n")).where("lo < hi").select("low", "lo", (F.col("a") == F.col("b")).alias("same"), "n")
         facts = cut(facts)
         hot = hot_keys(facts, ["low"], "n", anchors.count())
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     else:
         if before is None:  # a length of one level: nothing is left out beforehand
             raise ValueError(f"windows must be longer than {SHORTEST} words")
-        longer = cut(read.mapInArrow(lambda p: _extended(p, length, before), "one long, two long, doc long, mark long"))
+        longer = cut(read.mapInArrow(lean(lambda p: _extended(p, length, before)), "one long, two long, doc long, mark long"))
         least = cut(longer.groupBy("one", "two").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("one", "two", "lo", "n"))
         hot = hot_keys(least, ["one", "two"], "n", longer.count())
         full = spread_join(longer, least.drop("n"), ["one", "two"], hot, "doc").where("doc > lo").groupBy("doc", "mark").agg(F.collect_set("one").alias("gone"))
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, id
     lists = cut(lists.groupBy("doc", "mark").agg(*[F.first(F.when(F.col("level") == k, F.col(c)), ignorenulls=True).alias(f"{c}{k}") for k in steps for c in ("gone", "open")]))
     none = F.array().cast("array<long>")
     each = d.join(lists, ["doc", "mark"], "left").select(F.col("doc").alias("row"), "text", "rest", *[F.coalesce(f"{c}{k}", none).alias(f"{c}{k}") for k in steps for c in ("gone", "open")])
-    out = each.mapInArrow(lambda p: _removed(p, length, with_text, steps), f"row long, rest {kind}, n_words long, n_removed long, kept string")
+    out = each.mapInArrow(lean(lambda p: _removed(p, length, with_text, steps)), f"row long, rest {kind}, n_words long, n_removed long, kept string")
     return out.select(F.col("row").alias(id_col), *[F.col(f"rest.{c}").alias(c) for c in others], "n_words", "n_removed", "kept")
 
 

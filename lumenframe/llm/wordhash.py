@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: An odd multiplier (a power's inverse exists modulo 2^64) and the seeds of the byte table: fixed values.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)

@@ -1,4 +1,4 @@
-"""Queries of codecs, paths, readable numbers and batch alignment: one text that Spark and DuckDB read.
+"""Queries of codecs, paths, and readable numbers: one text that Spark and DuckDB read.
 
 tests/test_codecs.py holds the texts against numpy and known values.
 """
@@ -15,5 +15,4 @@ QUERIES = {
     "codec_shared_exponent": f"SELECT {KEYS}, c_r + 0.0 AS c_r, c_g + 0.0 AS c_g, c_b + 0.0 AS c_b FROM ({hashing.staged(_NUMBERS, KEYS + ', x, y, z', codecs.shared_exponent('c', 'x', 'y', 'z'))}) AS h",
     "path_parts": f"SELECT p_partkey, {codecs.file_name('path')} AS name, {codecs.folder('path')} AS folder, {codecs.joined('path', 'p_name')} AS joined FROM (SELECT p_partkey, p_name, {_PATH} AS path FROM part) AS p",
     "str_thousands": f"SELECT doc_id, {codecs.thousands('n')} AS size FROM (SELECT doc_id, n_chars * n_chars * (doc_id % 2 * 999 + 1) AS n FROM documents) AS d",
-    "batch_alignment": f"SELECT o_orderkey, {codecs.aligned('first', 'n', 11, 4)} AS n, {codecs.tested('first', 11, 4)} AS tested FROM (SELECT o_orderkey, o_custkey % 60 AS first, o_orderkey % 23 + 1 AS n FROM orders) AS o",
 }

@@ -82,8 +82,6 @@ QUERIES = {
     "hash_prospector_seeded": "SELECT o_orderkey, mixed FROM (" + hashing.staged("orders", "o_orderkey, o_custkey", [("seeded", hashing.xor("o_orderkey", "o_custkey")), *hashing.prospector("mixed", "seeded")]) + ") AS h",
     "lcg_stream": "SELECT o_orderkey, s_3 AS state, round(CAST(s_3 AS DOUBLE) / CAST(4294967296 AS DOUBLE), 6) AS value FROM (" + hashing.staged("orders", "o_orderkey", [("s_0", hashing.cut("o_orderkey")), *[(f"s_{i + 1}", hashing.cut(f"{hashing.times(f's_{i}', 1103515245)} + 12345")) for i in range(3)]]) + ") AS h",
     "vertex_normals": "SELECT vertex, round(x / len, 4) + 0.0 AS x, round(y / len, 4) + 0.0 AS y, round(z / len, 4) + 0.0 AS z FROM (SELECT vertex, x, y, z, sqrt(x * x + y * y + z * z) AS len FROM (SELECT l_suppkey AS vertex, sum(l_discount - 0.0503) AS x, sum(l_tax - 0.0307) AS y, sum(l_quantity / 50.0) AS z FROM lineitem GROUP BY l_suppkey) AS s) AS n WHERE len > 0",
-    "work_balance": "SELECT event_type, round(w / sum(w) OVER (), 6) AS weight FROM (SELECT event_type, 1.0 / (0.001 + avg(value)) AS w FROM events GROUP BY event_type) AS t",
-    "most_queued": "SELECT o_orderpriority, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority) AS q ORDER BY n DESC, o_orderpriority LIMIT 1",
     "time_parse": "SELECT o_orderkey, h * 3600 + m * 60 + s AS seconds FROM (SELECT o_orderkey, CAST(substr(t, 1, 2) AS BIGINT) AS h, CAST(substr(t, 4, 2) AS BIGINT) AS m, CAST(substr(t, 7, 2) AS BIGINT) AS s FROM (SELECT o_orderkey, concat(lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), ':', lpad(CAST(o_custkey % 60 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 59 AS STRING), 2, '0')) AS t FROM orders) AS a) AS b",
     "film_light_passes": "SELECT l_suppkey, count(*) AS sample_count, "
     + ", ".join(f"round(sum(CASE WHEN l_linenumber % 4 = {i} AND l_returnflag {op} 'N' THEN l_extendedprice / 1000 ELSE 0.0 END) / count(*), 4) AS {kind}_{part}" for i, kind in enumerate(("diffuse", "glossy", "transmission", "volume")) for part, op in (("direct", "="), ("indirect", "<>")))

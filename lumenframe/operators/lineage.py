@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -19,3 +20,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(place)
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and its size is known to the planner."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
+    """df with its rows numbered from 0 in the order of some columns, and their count.
+
+    Rows are dealt by range, so no task holds them all. They are written with their place within their task; one count a
+    task goes to the driver. Rows that agree in all columns of order are numbered in any order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftright("__at", 33).cast("int")
+    starts, total = {}, 0
+    for r in sorted(placed.groupBy(task.alias("task")).count().collect()):
+        starts[r["task"]], total = total, total + r["count"]
+    first = F.get(F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1)]), task)
+    return placed.withColumn(name, first + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at"), total

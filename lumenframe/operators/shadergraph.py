@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions import color, scalar
+from lumenframe.functions import color, scalar, tables, vector
 from lumenframe.operators.lineage import shared_path
 
 ROOT = "output"
 AT = ["graph", "node"]
 RGB = ("r", "g", "b")
 #: Kinds whose result is known as soon as their inputs are.
-FOLDED = ("value", "color", "math", "invert", "gamma", "brightness_contrast", "rgb_to_bw", "mix", "separate_color", "combine_color")
+FOLDED = ("value", "color", "math", "invert", "gamma", "brightness_contrast", "rgb_to_bw", "mix", "separate_color", "combine_color", "rgb_curves", "vector_curves", "float_curve", "rgb_ramp", "separate_xyz", "combine_xyz", "clamp", "vector_math")
 
 
 def _keep(d: DataFrame) -> DataFrame:
@@ -116,6 +116,11 @@ def _results() -> str:
     each = lambda v: f"array({', '.join(v)})"
     p, q = tuple(f"p_{k}" for k in RGB), tuple(f"q_{k}" for k in RGB)
     held = lambda x: f"(CASE WHEN params['use_clamp'] = 'true' THEN {scalar.clamp(x)} ELSE {x} END)"
+    bend = lambda c: tables.curves(CURVE, tuple(f"{c}_{k}" for k in RGB), "bend", LOW, HIGH, DRAWN)
+    slide = lambda t: tables.ramp(t, "bend", "coalesce(params['interpolate'], 'true') = 'true'")
+    v, w, u = (tuple(f"{c}_{k}" for k in RGB) for c in "vwu")
+    vectors = " ".join(f"WHEN '{op}' THEN map('vector', {each(vector.vector_math(op, v, w, u, 'length'))})" for op in vector.VECTORS)
+    numbers = " ".join(f"WHEN '{op}' THEN map('value', array({f(v, w)}))" for op, f in vector.NUMBERS.items())
     sums = " ".join(f"WHEN '{op}' THEN {scalar.math(op, 'a', 'b', 'c')}" for op in (*scalar.UNARY, *scalar.BINARY, *scalar.TERNARY))
     mixes = " ".join(f"WHEN '{op}' THEN {each(color.mix(op, p, q, 'fac'))}" for op in color.CHANNEL)
     return f"""CASE kind
@@ -128,12 +133,30 @@ def _results() -> str:
       WHEN 'rgb_to_bw' THEN map('val', array({color.luminance(p)}))
       WHEN 'mix' THEN map('color', transform(CASE params['mix_type'] {mixes} END, x -> {held('x')}))
       WHEN 'separate_color' THEN map('r', array(p_r), 'g', array(p_g), 'b', array(p_b))
-      WHEN 'combine_color' THEN map('color', array(a, b, c)) END"""
+      WHEN 'combine_color' THEN map('color', array(a, b, c))
+      WHEN 'rgb_curves' THEN map('color', {each(bend("p"))})
+      WHEN 'vector_curves' THEN map('vector', {each(bend("v"))})
+      WHEN 'float_curve' THEN map('value', {each(tables.curves(CURVE, ("a",), "bend", LOW, HIGH, DRAWN))})
+      WHEN 'rgb_ramp' THEN map('color', {each(slide(tables.channel(RAMP, i)) for i in range(3))}, 'alpha', array({slide(ALPHA)}))
+      WHEN 'separate_xyz' THEN map('x', array(v_r), 'y', array(v_g), 'z', array(v_b))
+      WHEN 'combine_xyz' THEN map('vector', array(a, b, c))
+      WHEN 'clamp' THEN map('result', array(CASE WHEN params['clamp_type'] = 'range' AND b > {TOP} THEN least(greatest(a, {TOP}), b) ELSE least(greatest(a, b), {TOP}) END))
+      WHEN 'vector_math' THEN CASE params['math_type'] {vectors} {numbers} END END"""
 
 
 #: The socket of each number and colour that a kind reads: fixed names of the graph format.
-NUMBERS = {"a": ("value", "value1", "gamma", "bright", "r"), "b": ("value2", "contrast", "g"), "c": ("value3", "b"), "fac": ("fac",)}
-COLOURS = {"p": ("color", "color1"), "q": ("color2",)}
+NUMBERS = {"a": ("value", "value1", "gamma", "bright", "r", "x"), "b": ("value2", "contrast", "g", "y", "min"), "c": ("value3", "b", "z"), "fac": ("fac",), "bend": ("fac",), "length": ("scale",)}
+#: What a missing number counts as, where that is not 0.
+MISSING = {"fac": 0.5, "length": 1.0}
+COLOURS = {"p": ("color", "color1"), "q": ("color2",), "v": ("vector", "vector1"), "w": ("vector2",), "u": ("vector3",)}
+#: The tables of curves and ramps, which are constants of their node, and the range of curves.
+CURVE, RAMP = "coalesce(defaults['curves'], defaults['curve'])", "defaults['ramp']"
+ALPHA = "transform(defaults['ramp_alpha'], x -> double(x))"
+LOW, HIGH = "coalesce(defaults['min_x'][0], 0.0D)", "coalesce(defaults['max_x'][0], 1.0D)"
+DRAWN = "coalesce(params['extrapolate'], 'true') = 'true'"
+TOP = "coalesce(defaults['max'][0], 1.0D)"
+#: A node of these kinds without its table is not known.
+TABLED = {"rgb_curves": CURVE, "vector_curves": CURVE, "float_curve": CURVE, "rgb_ramp": f"CASE WHEN size({RAMP}) = 3 * size(defaults['ramp_alpha']) THEN {RAMP} END"}
 
 
 def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +165,8 @@ def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     A node of FOLDED with no edge into it is known; its results become defaults of their sockets and its edges go, which
     may make the next nodes known. Between these steps, nodes whose result is one of their inputs are passed by (plus or
     minus 0, times or divided by 1, a mix by 0) and those that an input decides are set (times 0, to the power 0). Numbers
-    are doubles; a missing default counts as 0, a missing factor as 0.5. Folded nodes stay, linked to nothing, until
+    are doubles; a missing default counts as 0, a missing factor as 0.5 (of curves and ramps as 0). Tables of curves lie in
+    the defaults `curves` (three interleaved) or `curve`, those of ramps in `ramp` and `ramp_alpha`. Folded nodes stay, linked to nothing, until
     `reachable` prunes them. Break cycles first.
     """
     nodes, edges = _keep(nodes), _keep(edges)
@@ -153,8 +177,10 @@ def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         fed = edges.select("graph", F.col("to_node").alias("node")).distinct()
         used = edges.select("graph", F.col("from_node").alias("node")).distinct()
         known = nodes.where(F.col("kind").isin(*FOLDED)).join(fed, AT, "left_anti").join(used, AT, "left_semi")
+        bare = " OR ".join(f"(kind = '{k}' AND coalesce(size({t}), 0) <= 0)" for k, t in TABLED.items())
+        known = known.where(f"NOT ({bare})")
         number = lambda names, d: F.coalesce(*(F.col("defaults")[n][0] for n in names), F.lit(d))
-        known = known.select(*AT, "kind", "params", *(number(n, 0.5 if k == "fac" else 0.0).alias(k) for k, n in NUMBERS.items()), *(F.coalesce(*(F.get(F.col("defaults")[x], F.lit(i)) for x in n), F.lit(0.0)).alias(f"{k}_{ch}") for k, n in COLOURS.items() for i, ch in enumerate(RGB)))
+        known = known.select(*AT, "kind", "params", "defaults", *(number(n, MISSING.get(k, 0.0)).alias(k) for k, n in NUMBERS.items()), *(F.coalesce(*(F.get(F.col("defaults")[x], F.lit(i)) for x in n), F.lit(0.0)).alias(f"{k}_{ch}") for k, n in COLOURS.items() for i, ch in enumerate(RGB)))
         out = known.selectExpr("graph", "node AS from_node", f"explode({_results()}) AS (from_socket, result)")
         sent = _keep(edges.join(out, ["graph", "from_node", "from_socket"]))
         if sent.isEmpty():
@@ -174,13 +200,16 @@ def _write(nodes: DataFrame, edges: DataFrame, sent: DataFrame) -> tuple[DataFra
 def _decided(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """One step over used nodes that have both linked and constant inputs, and whether there were any."""
     links = edges.groupBy("graph", F.col("to_node").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("to_socket", F.struct("from_node", "from_socket")))).alias("links"))
-    some = nodes.where(F.col("kind").isin("math", "mix")).join(links, AT).join(edges.select("graph", F.col("from_node").alias("node")), AT, "left_semi")
+    some = nodes.where(F.col("kind").isin("math", "mix", "rgb_curves", "vector_curves", "float_curve")).join(links, AT).join(edges.select("graph", F.col("from_node").alias("node")), AT, "left_semi")
     is_ = lambda socket, x: ~F.map_contains_key("links", F.lit(socket)) & (F.coalesce(F.col("defaults")[socket][0], F.lit(0.5 if socket == "fac" else 0.0)) == x)
     op = lambda *names: (F.col("kind") == "math") & F.col("params")["math_type"].isin(*names) & (F.coalesce(F.col("params")["use_clamp"], F.lit("false")) != "true")
     linked = lambda s: F.col("links")[s]
     via = F.when((op("add", "subtract") & is_("value2", 0.0)) | (op("multiply", "divide") & is_("value2", 1.0)), linked("value1"))
     via = via.when((op("add") & is_("value1", 0.0)) | (op("multiply") & is_("value1", 1.0)), linked("value2"))
     via = via.when((F.col("kind") == "mix") & is_("fac", 0.0) & (F.coalesce(F.col("params")["use_clamp"], F.lit("false")) != "true"), linked("color1"))
+    for kind, socket in (("rgb_curves", "color"), ("vector_curves", "vector"), ("float_curve", "value")):
+        none = ~F.map_contains_key("links", F.lit("fac")) & (F.coalesce(F.col("defaults")["fac"][0], F.lit(0.0)) == 0)
+        via = via.when((F.col("kind") == kind) & none, linked(socket))
     result = F.when((op("multiply") & (is_("value1", 0.0) | is_("value2", 0.0))) | (op("divide") & is_("value1", 0.0)), F.lit(0.0)).when(op("power") & (is_("value2", 0.0) | is_("value1", 1.0)), F.lit(1.0))
     found = _keep(some.select("graph", F.col("node").alias("from_node"), via.alias("via"), result.alias("number")).where("via IS NOT NULL OR number IS NOT NULL"))
     if found.isEmpty():

@@ -8,6 +8,15 @@ from lumenframe.operators import shadergraph as sg
 NODES = "graph string, node string, kind string, params map<string,string>, defaults map<string,array<double>>"
 EDGES = "graph string, from_node string, from_socket string, to_node string, to_socket string"
 C = [0.3, 0.5, 0.7]
+
+
+def line(start, end, steps):
+    """Entries from start to end, interleaved."""
+    return [a + (b - a) * i / (steps - 1) for i in range(steps) for a, b in zip(start, end, strict=True)]
+
+
+CURVE = {"curves": line([0, 0.25, 1], [1, 0.75, 0], 257), "min_x": [0.1], "max_x": [0.9]}
+RAMP = {"ramp": line([0, 0.25, 0.5], [0.25, 0.5, 0.75], 9), "ramp_alpha": line([0.75], [1], 9), "fac": [0.56]}
 #: Graph, kind, params, defaults, result socket, result: known constants of the graph tests.
 KNOWN = [
     ("invert", {}, {"fac": [0.8], "color": [0.2, 0.5, 0.8]}, "color", [0.68, 0.5, 0.32]),
@@ -19,6 +28,23 @@ KNOWN = [
     ("math", {"math_type": "add", "use_clamp": "true"}, {"value1": [0.7], "value2": [0.9]}, "value", [1]),
     ("separate_color", {}, {"color": C}, "g", [0.5]),
     ("combine_color", {}, {"r": [0.3], "g": [0.5], "b": [0.7]}, "color", C),
+    ("rgb_curves", {}, CURVE | {"fac": [0.5], "color": C}, "color", [0.275, 0.5, 0.475]),
+    ("rgb_curves", {}, CURVE | {"fac": [0.0], "color": C}, "color", C),
+    ("vector_curves", {}, CURVE | {"fac": [0.5], "vector": C}, "vector", [0.275, 0.5, 0.475]),
+    ("vector_curves", {}, CURVE | {"fac": [1.0], "vector": [1.3, 0.5, -0.1]}, "vector", [1.5, 0.5, 1.25]),
+    ("vector_curves", {"extrapolate": "false"}, CURVE | {"fac": [1.0], "vector": [1.3, 0.5, -0.1]}, "vector", [1, 0.5, 1]),
+    ("float_curve", {}, {"curve": [0.0, 1.0, 0.0], "fac": [1.0], "value": [0.25]}, "value", [0.5]),
+    ("rgb_ramp", {"interpolate": "true"}, RAMP, "color", [0.14, 0.39, 0.64]),
+    ("rgb_ramp", {"interpolate": "true"}, RAMP, "alpha", [0.89]),
+    ("rgb_ramp", {"interpolate": "false"}, RAMP, "color", [0.125, 0.375, 0.625]),
+    ("rgb_ramp", {"interpolate": "false"}, RAMP, "alpha", [0.875]),
+    ("combine_xyz", {}, {"x": [0.3], "y": [0.5], "z": [0.7]}, "vector", C),
+    ("separate_xyz", {}, {"vector": C}, "z", [0.7]),
+    ("clamp", {"clamp_type": "minmax"}, {"value": [1.7], "min": [0.2], "max": [0.9]}, "result", [0.9]),
+    ("clamp", {"clamp_type": "range"}, {"value": [0.1], "min": [0.9], "max": [0.2]}, "result", [0.2]),
+    ("vector_math", {"math_type": "cross_product"}, {"vector1": [1.0, 0.0, 0.0], "vector2": [0.0, 1.0, 0.0]}, "vector", [0, 0, 1]),
+    ("vector_math", {"math_type": "dot_product"}, {"vector1": C, "vector2": [1.0, 2.0, 3.0]}, "value", [3.4]),
+    ("vector_math", {"math_type": "scale"}, {"vector1": C, "scale": [2.0]}, "vector", [0.6, 1.0, 1.4]),
 ]
 
 
@@ -92,3 +118,10 @@ def test_empty_tables_give_empty_tables(spark):
     nodes, edges = tables(spark, [], [])
     got, left = sg.finalise(nodes, edges)
     assert got.isEmpty() and left.isEmpty() and got.columns == nodes.columns and left.columns == edges.columns
+
+
+def test_curves_without_a_table_or_effect(spark):
+    nodes = [("0", "a", "attribute", {}, {}), ("0", "n", "rgb_curves", {}, CURVE | {"fac": [0.0]}), ("0", "output", "output", {}, {}), ("1", "n", "rgb_curves", {}, {"fac": [0.5], "color": C}), ("1", "m", "rgb_ramp", {}, RAMP | {"ramp_alpha": [1.0]}), ("1", "output", "output", {}, {})]
+    edges = [("0", "a", "color", "n", "color"), ("0", "n", "color", "output", "surface"), ("1", "n", "color", "output", "surface"), ("1", "m", "color", "output", "volume")]
+    _, left = sg.fold(*tables(spark, nodes, edges))
+    assert sorted(map(tuple, left.collect())) == [("0", "a", "color", "n", "color"), ("0", "a", "color", "output", "surface"), ("1", "m", "color", "output", "volume"), ("1", "n", "color", "output", "surface")]

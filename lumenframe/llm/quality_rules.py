@@ -21,6 +21,8 @@ WORDS = sorted({w for ws in COMMON.values() for w in ws})
 SYMBOLS = "#*$%&|<>"
 #: Character classes, in the order in which they are taken out of a text; what is left is the last bin.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\p{L}\p{M}]+", r"\p{N}+", r"[\s\p{Z}]+", r"[.,;:!?'\"()\-]+")
+#: The place of the class of blanks.
+BLANKS = 4
 #: Distance (0: the same, 1: nothing in common) above which a character histogram is not that of prose.
 MOST_CHARS = 0.28
 #: The same for words, as a part of the distance that a text without any common word has from the same reference. A text
@@ -65,14 +67,17 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("word_bins", F.concat(counts, F.array(n - F.col("__n")))).drop("__c", "__a", "__n")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__l", lines).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).drop("__l")
-    d = d.withColumn("word_chars", (F.length(t) - (F.octet_length(t) - F.octet_length(_without(t, SPACES)))).cast("long"))
-    d = d.withColumn("n_symbols", (F.octet_length(t) - F.octet_length(_without(t, SYMBOLS))).cast("long"))
     bins = []
     for k, pattern in enumerate(CLASSES):
         before = f"__r{k}" if k else "__t"
         d = d.withColumn(f"__r{k + 1}", F.regexp_replace(before, pattern, ""))
         bins.append((F.length(before) - F.length(f"__r{k + 1}")).cast("long"))
-    bins.append(F.length(f"__r{len(CLASSES)}").cast("long"))
+    rest = F.col(f"__r{len(CLASSES)}")
+    bins.append(F.length(rest).cast("long"))
+    # no class takes a symbol, and none before BLANKS takes a blank, so both are counted in what these leave of a text
+    odd, blank = rest, F.col(f"__r{BLANKS}")
+    d = d.withColumn("word_chars", (F.length(t) - (F.octet_length(blank) - F.octet_length(_without(blank, SPACES)))).cast("long"))
+    d = d.withColumn("n_symbols", (F.octet_length(odd) - F.octet_length(_without(odd, SYMBOLS))).cast("long"))
     return d.withColumn("char_bins", F.array(*bins)).drop("__t", *[f"__r{k + 1}" for k in range(len(CLASSES))])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,21 +82,27 @@ def features(docs: DataFrame) -> DataFrame:
     return d.withColumn("char_bins", F.array(*bins)).drop("__t", *[f"__r{k + 1}" for k in range(len(CLASSES))])
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: within a lambda a column is computed for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _shares(bins: Column) -> Column:
-    """Counts as shares of their sum."""
+    """Counts that are not 0 as shares p of their sum, each with its bin i."""
     total = F.aggregate(bins, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(bins, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    share = lambda t: lambda x, i: F.struct((x / t).alias("p"), i.alias("i"))
+    return _once(total, lambda t: F.filter(F.transform(bins, share(t)), lambda s: s["p"] > 0))
 
 
-def _distance(p: Column, q: Column | list[float]) -> Column:
-    """Jensen-Shannon distance to base 2, from 0 to 1."""
+def _distance(shares: Column, q: Column) -> Column:
+    """Jensen-Shannon distance to base 2, from 0 to 1, of shares from a histogram. Bins that the shares leave empty add log 2 of their part of q, whose sum is where the others start from."""
 
-    def part(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log(2 * a / (a + b))).otherwise(F.lit(0.0))
+    def term(s: Column) -> Column:
+        p, r = s["p"], F.get(q, s["i"])
+        return p * F.log(2 * p / (p + r)) + F.when(r > 0, r * F.log(r / (p + r))).otherwise(F.lit(0.0))
 
-    q = q if isinstance(q, Column) else F.array(*[F.lit(float(x)) for x in q])
-    terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / (2 * math.log(2))))
+    start = F.aggregate(q, F.lit(0.0), lambda a, x: a + x) * math.log(2)
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, start, lambda a, s: a + term(s)) / (2 * math.log(2))))
 
 
 def _empty_distance(q: list[float]) -> float:
@@ -141,18 +148,16 @@ def judge(docs: DataFrame) -> DataFrame:
         raise ValueError(f"the table already has {sorted(clash)}")
     found = cut(features(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
     refs = references(found)
-    d = found.withColumn("__c", _shares(F.col("char_bins"))).withColumn("__w", _shares(F.col("word_bins")))
-    nearest = lambda c, k: reduce(F.least, [_distance(F.col(c), r[k]) for r in refs] + [F.lit(1.0)]) if refs else F.lit(0.0)
-    d = d.withColumn("char_distance", nearest("__c", 1))
     # one lambda over all references: an array of distances would be taken apart and each distance computed for every use
-    known = [F.struct(F.array(*[F.lit(float(x)) for x in r[2]]).alias("q"), F.lit(_empty_distance(r[2])).alias("e")) for r in refs]
+    known = [F.struct(F.array(*[F.lit(float(x)) for x in r[1]]).alias("c"), F.array(*[F.lit(float(x)) for x in r[2]]).alias("w"), F.lit(_empty_distance(r[2])).alias("e")) for r in refs]
     if refs:
-        d = d.withColumn("__d", F.transform(F.array(*known), lambda r: F.struct(_distance(F.col("__w"), r["q"]).alias("d"), r["e"].alias("e"))))
-        d = d.withColumn("word_distance", F.least(F.array_min(F.transform("__d", lambda x: x["d"])), F.lit(1.0)))
-        d = d.withColumn("__far", F.coalesce(F.array_min(F.transform("__d", lambda x: F.when(x["e"] > 0, x["d"] / x["e"]))), F.lit(0.0))).drop("__d")
+        each = lambda c: lambda n: F.transform(F.array(*known), lambda r: F.struct(_distance(n, r[c]).alias("d"), r["e"].alias("e")))
+        d = found.withColumn("__c", _once(_shares(F.col("char_bins")), each("c"))).withColumn("__d", _once(_shares(F.col("word_bins")), each("w")))
+        least = lambda c: F.least(F.array_min(F.transform(c, lambda x: x["d"])), F.lit(1.0))
+        d = d.withColumn("char_distance", least("__c")).withColumn("word_distance", least("__d"))
+        d = d.withColumn("__far", F.coalesce(F.array_min(F.transform("__d", lambda x: F.when(x["e"] > 0, x["d"] / x["e"]))), F.lit(0.0))).drop("__c", "__d")
     else:
-        d = d.withColumn("word_distance", F.lit(0.0)).withColumn("__far", F.lit(0.0))
-    d = d.drop("__c", "__w")
+        d = found.withColumns({c: F.lit(0.0) for c in ("char_distance", "word_distance", "__far")})
     chars = F.aggregate("char_bins", F.lit(0).cast("long"), lambda a, x: a + x)
     odd = ((chars >= LEAST_CHARS) & (F.col("char_distance") > MOST_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("__far") > MOST_WORDS))
     known_lang = F.col("lang").isNull() | F.col("lang").isin([r[0] for r in refs])

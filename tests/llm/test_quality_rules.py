@@ -82,3 +82,22 @@ def test_languages_without_a_reference_are_left_alone(spark):
     rows = [(i, prose(150, i), "en") for i in range(10)] + [(10, prose(300, 50, 0), "it"), (11, prose(300, 50, 0), None), (12, "語の文章 " * 90, "ja"), (13, "語" * 3 + " x", "ja")]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame([(i, t if i != 12 else " ".join(f"語{k}文章の" for k in range(90)), g) for i, t, g in rows], "doc_id long, text string, lang string")).collect()}
     assert {i for i, k in got.items() if not k} == {11, 13}
+
+
+def test_query(spark, tmp_path):
+    """The query's own columns against plain Python, and its verdict against that of the operator."""
+    passage = " ".join(f"w{k}" for k in range(30))
+    texts = [prose(60 + 10 * i, i) for i in range(10)] + ["", None, " \t\n", "a b\na b\n\nc", "\n".join([prose(12, 5)] * 9), f"{passage} x {passage}", "#tag $5 100% <x> & a|b*" * 40, "one two\x0bthree\x0cfour\rfive"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in quality_rules.op4_divergence_rules(spark, str(tmp_path)).collect()}
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w, t = words(t), t or ""
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        repeated = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)}
+        lines = [x for x in t.split("\n") if words(x)]
+        failed = len(w) < 20 or 100 * len(repeated) > 30 * len(w)
+        assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), failed)
+        assert got[i]["kept"] == verdict[i] and not (failed and got[i]["kept"])

@@ -90,8 +90,8 @@ def _once(x: Column, f: Callable[[Column], Column]) -> Column:
 def _shares(bins: Column) -> Column:
     """Counts that are not 0 as shares p of their sum, each with its bin i."""
     total = F.aggregate(bins, F.lit(0).cast("long"), lambda a, x: a + x)
-    share = lambda t: lambda x, i: F.struct((x / t).alias("p"), i.alias("i"))
-    return _once(total, lambda t: F.filter(F.transform(bins, share(t)), lambda s: s["p"] > 0))
+    some = F.filter(F.transform(bins, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] > 0)
+    return _once(total, lambda t: F.transform(some, lambda s: F.struct((s["x"] / t).alias("p"), s["i"].alias("i"))))
 
 
 def _distance(shares: Column, q: Column) -> Column:

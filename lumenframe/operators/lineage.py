@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,11 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns, each computed once a row: a filter above a projection would compute them again, above a generator it does not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
     """df with its rows numbered from 0 in the order of some columns, and their count.
 

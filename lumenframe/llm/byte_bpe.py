@@ -23,7 +23,7 @@ from lumenframe.llm.common import kept
 #: White space by the Unicode property, which is what the pattern's class means to the tokenizer: fixed values.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words that a worker keeps encoded. A full cache starts anew, so its memory does not follow the input.
-CACHE = 250_000
+CACHE = 500_000
 #: Characters of text that are worked on at once.
 BLOCK = 1 << 21
 

@@ -17,6 +17,8 @@ from lumenframe.operators.lineage import shared_path
 
 ROOT = "output"
 AT = ["graph", "node"]
+#: Steps of folding after which a graph is taken for one with a cycle; each settles a level of nodes at least.
+ROUNDS = 10_000
 RGB = ("r", "g", "b")
 #: Kinds whose result is known as soon as their inputs are.
 FOLDED = ("value", "color", "math", "invert", "gamma", "brightness_contrast", "rgb_to_bw", "mix", "separate_color", "combine_color", "rgb_curves", "vector_curves", "float_curve", "rgb_ramp", "separate_xyz", "combine_xyz", "clamp", "vector_math")
@@ -170,7 +172,7 @@ def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     `reachable` prunes them. Break cycles first.
     """
     nodes, edges = _keep(nodes), _keep(edges)
-    while True:
+    for _ in range(ROUNDS):
         nodes, edges, changed = _decided(nodes, edges)
         if changed:
             continue
@@ -186,6 +188,7 @@ def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if sent.isEmpty():
             return nodes, edges
         nodes, edges = _write(nodes, edges, sent)
+    raise RuntimeError(f"graphs still change after {ROUNDS} rounds: break cycles first")
 
 
 def _write(nodes: DataFrame, edges: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, NumericType, StructType
 from pyspark.sql.window import Window
 
 from lumenframe.operators.lineage import shared_path
@@ -90,11 +90,26 @@ def write_graphs(nodes: DataFrame, path: str, defaults: DataFrame | None = None)
     packed.select(F.col("graph").alias("_graph"), F.col("node").alias("_name"), F.col("kind").alias("_kind"), "param").write.format("xml").options(rootTag="graphs", rowTag="node").mode("errorifexists").save(path)
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """What write_graphs wrote, as nodes; their types are given, so no pass over the files infers them."""
+def _node_rows(spark: SparkSession, path: str) -> DataFrame:
     schema = "_graph string, _name string, _kind string, param array<struct<_name:string,_value:string>>"
-    d = spark.read.format("xml").schema(schema).options(rowTag="node").load(path)
-    entries = F.transform("param", lambda p: F.struct(p["_name"].alias("key"), p["_value"].alias("value")))
+    return spark.read.format("xml").schema(schema).options(rowTag="node").load(path)
+
+
+def read_doubled(spark: SparkSession, path: str) -> DataFrame:
+    """(graph, node, param, value): the parameters that read_nodes leaves out, since their node has one of that name before or they have none."""
+    rows = _node_rows(spark, path).select(F.col("_graph").alias("graph"), F.col("_name").alias("node"), "param", F.posexplode("param").alias("at", "p"))
+    earlier = F.exists(F.slice("param", F.lit(1), F.col("at")), lambda q: q["_name"] == F.col("p._name"))
+    return rows.where(F.col("p._name").isNull() | F.coalesce(earlier, F.lit(False))).select("graph", "node", F.col("p._name").alias("param"), F.col("p._value").alias("value"))
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """What write_graphs wrote, as nodes; their types are given, so no pass over the files infers them.
+
+    Of parameters of one name in a node the first stays, and those without a name leave; `read_doubled` has these.
+    """
+    d = _node_rows(spark, path)
+    first = F.filter("param", lambda p, i: p["_name"].isNotNull() & (F.array_position(F.transform("param", lambda q: F.coalesce(q["_name"], F.lit(""))), p["_name"]) == i + 1))
+    entries = F.transform(first, lambda p: F.struct(p["_name"].alias("key"), p["_value"].alias("value")))
     params = F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,string>"))
     return d.select(F.col("_graph").alias("graph"), F.col("_name").alias("node"), F.col("_kind").alias("kind"), params.alias("params"))
 
@@ -125,6 +140,8 @@ def fan(meshes: DataFrame) -> DataFrame:
     return rows.select("mesh", "face", "nth", at(F.lit(0)).alias("v0"), at(F.col("nth") + 1).alias("v1"), at(F.col("nth") + 2).alias("v2"))
 
 
+#: Rounds after which a nest of 2^40 levels would be done.
+ROUNDS = 40
 #: Product of two transforms of three rows and four columns.
 PRODUCT = "transform(sequence(0, 11), k -> {a}[k div 4 * 4] * {b}[k % 4] + {a}[k div 4 * 4 + 1] * {b}[4 + k % 4] + {a}[k div 4 * 4 + 2] * {b}[8 + k % 4] + IF(k % 4 = 3, {a}[k], 0D))"
 
@@ -133,15 +150,18 @@ def compose(states: DataFrame) -> DataFrame:
     """(node, matrix): each state's own matrix after those of all states that it lies in.
 
     states are (node, parent, matrix array<double> of 12), parent null at the top. Each round joins a state with the one
-    as many levels up again, so a nest of n levels takes log n rounds; a parent that does not exist counts as the top.
+    as many levels up again, so a nest of n levels takes log n rounds; a parent that does not exist counts as the top. A
+    state that lies in itself is an error: ROUNDS are enough for any nest.
     """
     shared_path(states.sparkSession, "states")
     at = states.select("node", F.col("parent").alias("up"), "matrix").checkpoint()
-    while not at.where("up IS NOT NULL").isEmpty():
+    for _ in range(ROUNDS):
+        if at.where("up IS NOT NULL").isEmpty():
+            return at.select("node", "matrix")
         above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("matrix").alias("over"))
         joined = at.join(above, "up", "left")
         at = joined.select("node", F.col("next").alias("up"), F.when(F.col("over").isNull(), F.col("matrix")).otherwise(F.expr(PRODUCT.format(a="over", b="matrix"))).alias("matrix")).checkpoint()
-    return at.select("node", "matrix")
+    raise ValueError("a state lies in itself")
 
 
 def write_tiles(pixels: DataFrame, path: str, tile: Column) -> None:
@@ -150,7 +170,9 @@ def write_tiles(pixels: DataFrame, path: str, tile: Column) -> None:
 
 
 def read_tiles(spark: SparkSession, path: str, index: DataFrame, on: Iterable[str]) -> DataFrame:
-    """Every pixel of the index (tile and the columns `on`); numbers of pixels that no tile file holds are 0."""
-    d = spark.read.parquet(path)
+    """Every pixel of the index (tile and the columns `on`); numbers of pixels that no tile file holds are 0. A null that was written stays null."""
+    d = spark.read.parquet(path).withColumn("__held", F.lit(True))
     keys = [*on, "tile"]
-    return index.join(d, keys, "left").na.fill(0)
+    numbers = {f.name for f in d.schema.fields if isinstance(f.dataType, NumericType)} - set(keys)
+    out = index.join(d, keys, "left")
+    return out.select(*[F.when(F.col("__held").isNull(), F.lit(0).cast(out.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in numbers else F.col(c) for c in out.columns if c != "__held"])

@@ -76,3 +76,28 @@ def test_tiles_that_are_missing_are_zero(spark, tmp_path):
     index = spark.range(8).select("id", (F.col("id") % 4).cast("int").alias("tile"))
     got = {r.id: r.value for r in scene.read_tiles(spark, str(tmp_path / "t"), index, ["id"]).collect()}
     assert got == {0: 0.0, 1: 1.5, 2: 3.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.0}
+
+
+def test_nulls_in_tiles_stay(spark, tmp_path):
+    pixels = spark.createDataFrame([(1, 0, None, "a"), (2, 0, 5.0, None)], "id long, tile int, value double, word string")
+    scene.write_tiles(pixels.drop("tile"), str(tmp_path / "t"), F.lit(0))
+    index = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "id long, tile int")
+    got = {r.id: (r.value, r.word) for r in scene.read_tiles(spark, str(tmp_path / "t"), index, ["id"]).collect()}
+    assert got == {1: (None, "a"), 2: (5.0, None), 3: (0.0, None)}
+
+
+def test_a_state_in_itself(spark, monkeypatch):
+    monkeypatch.setattr(scene, "ROUNDS", 3)
+    one = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    with pytest.raises(ValueError, match="itself"):
+        scene.compose(spark.createDataFrame([("a", "b", one), ("b", "a", one)], "node string, parent string, matrix array<double>"))
+
+
+def test_odd_parameters_come_back(spark, tmp_path):
+    nodes = [("g", "n", "math", {"a": '<&>"', "b": "", "c": "it's"}), ("g", "m", "value", {})]
+    scene.write_graphs(spark.createDataFrame(nodes, "graph string, node string, kind string, params map<string,string>"), str(tmp_path / "x"))
+    got = {r.node: r.params for r in scene.read_nodes(spark, str(tmp_path / "x")).collect()}
+    assert got["m"] == {} and got["n"]["a"] == '<&>"' and got["n"]["c"] == "it's"
+    (tmp_path / "y.xml").write_text('<graphs><node _="" graph="g" name="n" kind="k"><param name="a" value="1"/><param name="b" value="2"/><param name="a" value="3"/></node></graphs>')
+    assert [r.params for r in scene.read_nodes(spark, str(tmp_path / "y.xml")).collect()] == [{"a": "1", "b": "2"}]
+    assert [tuple(r) for r in scene.read_doubled(spark, str(tmp_path / "y.xml")).collect()] == [("g", "n", "a", "3")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import color, hashing, scalar, texture, vector
 from lumenframe.operators import distribution, film, graph, spatial
-from lumenframe.plans import casting, cellular, curves, helpers, lighting, matting, photometry, rendering, sampling, scattering, scenes, textures
+from lumenframe.plans import casting, curves, helpers, lighting, matting, photometry, rendering, sampling, scattering, scenes, textures
 from lumenframe.streaming import progressive
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -292,9 +292,9 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | scattering.QUERIES).items()} | {f.__name__: f for f in NATIVE + scenes.NATIVE + casting.NATIVE + sampling.NATIVE + curves.NATIVE + photometry.NATIVE + matting.NATIVE + scattering.NATIVE + cellular.NATIVE + lighting.NATIVE}
+    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | scattering.QUERIES).items()} | {f.__name__: f for f in NATIVE + scenes.NATIVE + casting.NATIVE + sampling.NATIVE + curves.NATIVE + photometry.NATIVE + matting.NATIVE + scattering.NATIVE + lighting.NATIVE}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query."""
-    return SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | scattering.QUERIES | SQL | scenes.SQL | casting.SQL | sampling.SQL | curves.SQL | photometry.SQL | matting.SQL | scattering.SQL | cellular.SQL | lighting.SQL
+    return SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | scattering.QUERIES | SQL | scenes.SQL | casting.SQL | sampling.SQL | curves.SQL | photometry.SQL | matting.SQL | scattering.SQL | lighting.SQL

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.lineage import shared_path
+from lumenframe.operators.lineage import settled
 
 
 def islands(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, island) for every node: island is the smallest node that undirected edges (a, b) lead to.
 
     Each round takes the least island of all neighbours and then the island of that island, so long chains halve.
-    A round's table is checkpointed in spark.checkpoint.dir, and one count a round goes to the driver.
+    A round's table is written to spark.checkpoint.dir, and one look for changes a round goes to the driver.
     """
-    shared_path(nodes.sparkSession, "islands")  # sees to it that there is a folder for checkpoints
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    at = nodes.select("node", F.col("node").alias("island")).distinct().checkpoint()
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "islands")
+    at = settled(nodes.select("node", F.col("node").alias("island")).distinct(), "islands")
     for _ in range(rounds):
         near = both.join(at, F.col("b") == F.col("node")).groupBy("a").agg(F.min("island").alias("near"))
         low = at.join(near, F.col("node") == F.col("a"), "left").select("node", "island", F.least("island", "near").alias("low"))
         hop = at.select(F.col("node").alias("low"), F.col("island").alias("next"))
-        new = low.join(hop, "low", "left").select("node", F.least("low", "next").alias("island"), (F.col("island") != F.least("low", "next")).alias("moved")).checkpoint()
+        new = settled(low.join(hop, "low", "left").select("node", F.least("low", "next").alias("island"), (F.col("island") != F.least("low", "next")).alias("moved")), "islands")
         at = new.select("node", "island")
         if new.where("moved").isEmpty():
             return at

@@ -3,7 +3,7 @@
 Nodes are (graph, node, kind, params map<string,string>, defaults map<string,array<double>>) and edges are (graph,
 from_node, from_socket, to_node, to_socket), many graphs to a table; names are unique within a graph, and a socket has one
 edge into it. All passes work on all graphs at once by rounds of equal joins, as many as the deepest graph has levels; a
-round's table is checkpointed in spark.checkpoint.dir, so a lost executor costs one round. Empty tables give empty tables,
+round's table is written to spark.checkpoint.dir, so a lost executor costs one round. Empty tables give empty tables,
 edges whose ends do not exist do nothing, and null names link with nothing.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import color, scalar, tables, vector
-from lumenframe.operators.lineage import shared_path
+from lumenframe.operators.lineage import settled
 
 ROOT = "output"
 AT = ["graph", "node"]
@@ -25,8 +25,7 @@ FOLDED = ("value", "color", "math", "invert", "gamma", "brightness_contrast", "r
 
 
 def _keep(d: DataFrame) -> DataFrame:
-    shared_path(d.sparkSession, "graph")  # sees to it that there is a folder for checkpoints
-    return d.checkpoint()
+    return settled(d, "graph")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, root: str = ROOT) -> DataFrame:

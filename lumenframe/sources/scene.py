@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StructType
 from pyspark.sql.window import Window
 
-from lumenframe.operators.lineage import shared_path
+from lumenframe.operators.lineage import settled
 
 #: Fixed names of the format: kinds that are called otherwise in a graph, and the node that every graph has.
 RENAMED = {"background": "background_shader"}
@@ -153,14 +153,13 @@ def compose(states: DataFrame) -> DataFrame:
     as many levels up again, so a nest of n levels takes log n rounds; a parent that does not exist counts as the top. A
     state that lies in itself is an error: ROUNDS are enough for any nest.
     """
-    shared_path(states.sparkSession, "states")
-    at = states.select("node", F.col("parent").alias("up"), "matrix").checkpoint()
+    at = settled(states.select("node", F.col("parent").alias("up"), "matrix"), "states")
     for _ in range(ROUNDS):
         if at.where("up IS NOT NULL").isEmpty():
             return at.select("node", "matrix")
         above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("matrix").alias("over"))
         joined = at.join(above, "up", "left")
-        at = joined.select("node", F.col("next").alias("up"), F.when(F.col("over").isNull(), F.col("matrix")).otherwise(F.expr(PRODUCT.format(a="over", b="matrix"))).alias("matrix")).checkpoint()
+        at = settled(joined.select("node", F.col("next").alias("up"), F.when(F.col("over").isNull(), F.col("matrix")).otherwise(F.expr(PRODUCT.format(a="over", b="matrix"))).alias("matrix")), "states")
     raise ValueError("a state lies in itself")
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.lineage import cut, numbered
+from lumenframe.operators.lineage import cut, numbered, once
 
 #: Children of a node, as bits of their number.
 BITS = 3
@@ -121,24 +121,25 @@ def build(lights: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 def _with(points: DataFrame, level: DataFrame) -> DataFrame:
     """points with the children of their node. A level of a few nodes is broadcast; a larger one is joined by node, one row each."""
     kids = level.select("node", "ids", "children")
-    return points.join(F.broadcast(kids) if level.count() <= FEW else kids, "node").withColumn("chances", F.expr(chances("children")))
+    return once(points.join(F.broadcast(kids) if level.count() <= FEW else kids, "node"), chances=F.expr(chances("children")))
 
 
 def pick(points: DataFrame, levels: list[DataFrame], rand: str) -> DataFrame:
     """points with light and pdf: one light each, by a number in [0, 1), and the probability that it was chosen.
 
     All points go down the tree together, a join a level: their number picks a child by the children's chances and is
-    stretched to [0, 1) again. Points that no light reaches have no row.
+    stretched to [0, 1) again. Points that no light reaches have no row. Points are dealt to all tasks first: a row is small
+    beside its work, and a file of many points would be one task.
     """
-    d = points.withColumn("node", F.lit(0).cast("long")).withColumn("pdf", F.lit(1.0)).withColumn("__left", F.col(rand).cast("double"))
+    d = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("node", F.lit(0).cast("long")).withColumn("pdf", F.lit(1.0)).withColumn("__left", F.col(rand).cast("double"))
     if not levels:
         return d.where("false").withColumn("light", F.lit(None).cast("long")).drop("node", "__left")
     start = _struct(upto="0", before="0", at="-1", chance="0")
     step = "CASE WHEN s.at >= 0 OR x.p <= 0 THEN s ELSE " + _struct(upto="s.upto + x.p", before="s.upto", at="CASE WHEN __left < s.upto + x.p OR x.last THEN x.i ELSE -1 END", chance="x.p") + " END"
-    last = "x.i = array_max(transform(filter(transform(chances, (p, i) -> named_struct('p', p, 'i', i)), y -> y.p > 0), y -> y.i))"
-    tagged = f"transform(transform(chances, (p, i) -> named_struct('p', p, 'i', i)), x -> named_struct('p', x.p, 'i', x.i, 'last', {last}))"
+    last = "array_max(transform(chances, (p, i) -> CASE WHEN p > 0 THEN i END))"
+    tagged = _let(last, "n", "transform(chances, (p, i) -> named_struct('p', p, 'i', i, 'last', i = n))")
     for level in reversed(levels):
-        d = _with(d, level).withColumn("found", F.expr(f"aggregate({tagged}, {start}, (s, x) -> {step})")).where("found.at >= 0")
+        d = once(_with(d, level), found=F.expr(f"aggregate({tagged}, {start}, (s, x) -> {step})")).where("found.at >= 0")
         d = d.withColumn("__left", F.expr("least(greatest((__left - found.before) / found.chance, 0), 0.9999999999999999D)")).withColumn("pdf", F.col("pdf") * F.col("found.chance"))
         d = d.withColumn("kid", F.get("ids", F.col("found.at").cast("int"))).withColumn("node", F.col("kid.id")).withColumn("light", F.col("kid.light")).drop("found", "kid", "ids", "children", "chances")
     return d.drop("node", "__left")

@@ -146,3 +146,12 @@ def test_nothing(spark):
     one = spark.createDataFrame([(3, 0.0, 0.0, 5.0, 0.0, 2.0, 0.0, 0.0, -1.0, 0.0, math.pi / 2)], LIGHTS)
     levels, ranks = lights.build(one)
     assert [(r["light"], r["pdf"]) for r in lights.pick(d, levels, "r").collect()] == [(3, 1.0)]
+
+
+def test_chances_are_computed_once(spark, scene):
+    _, points, levels, _ = scene
+    d = lights.pick(spark.createDataFrame(points, POINTS), levels, "r")
+    text = d._jdf.queryExecution().optimizedPlan().toString()
+    # a filter that is pushed below a projection holds what the projection computes a second time
+    assert all("aggregate" not in line for line in text.splitlines() if "Filter" in line)
+    assert len([line for line in text.splitlines() if "Generate" in line]) == 2 * len(levels)

@@ -8,7 +8,7 @@ EDGES = "graph string, from_node string, from_socket string, to_node string, to_
 
 
 def size(d):
-    return int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def plan(d):

@@ -200,20 +200,20 @@ def matte_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return film.top_weights(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", F.col("l_quantity"), 4)
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _first_hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ray"), (F.col("c_custkey") % 97 / 10).alias("x"), (F.col("c_custkey") % 89 / 10).alias("y"), F.lit(-5.0).alias("z"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sphere"), (F.col("s_suppkey") % 83 / 8).alias("sx"), (F.col("s_suppkey") % 79 / 8).alias("sy"), (F.col("s_suppkey") % 7).cast("double").alias("sz"), F.lit(0.77).alias("r"))
-    return spatial.sphere_hits(c, s, 2.0)
+    return spatial.first_of_places(c, s, 2.0, n)
 
 
 def nearest_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sphere that each ray hits."""
-    return spatial.nearest(_hits(spark, sf_dir)).withColumn("t", F.round("t", 5))
+    return _first_hits(spark, sf_dir, 1).select("ray", "sphere", F.round("t", 5).alias("t"))
 
 
 def all_hits_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three spheres of each ray."""
-    return spatial.first_hits(_hits(spark, sf_dir), 3).withColumn("t", F.round("t", 5))
+    return _first_hits(spark, sf_dir, 3).withColumn("t", F.round("t", 5))
 
 
 #: Keys of one range of a running total.

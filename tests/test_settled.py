@@ -1,6 +1,6 @@
 """Tables of rounds: what the planner takes them for follows their rows, and none is broadcast for the size of its files."""
 
-from lumenframe.operators import closures, graph, shadergraph
+from lumenframe.operators import closures, graph, shadergraph, spatial
 from lumenframe.sources import scene
 
 NODES = "graph string, node string, kind string, params map<string,string>, defaults map<string,array<double>>"
@@ -52,3 +52,15 @@ def test_transforms(spark):
     n, unit = 40, [1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
     out = scene.compose(spark.createDataFrame([(i, i - 1 if i else None, unit) for i in range(n)], "node long, parent long, matrix array<double>"))
     assert size(out) < 10**6 and {r["node"]: r["matrix"][3] for r in out.collect()} == {i: i + 1.0 for i in range(n)}
+
+
+def test_equal_rays_and_spheres_meet_once(spark):
+    rays = spark.range(400).selectExpr("id AS ray", "double(id % 2) AS x", "0D AS y", "-5D AS z")
+    balls = spark.range(300).selectExpr("id AS sphere", "double(id % 2) AS sx", "0D AS sy", "double(id % 3) AS sz", "0.6D AS r")
+    every = spatial.sphere_hits(rays, balls, 2.0)
+    mine, want = spatial.first_of_places(rays, balls, 2.0, 4), spatial.first_hits(every, 4)
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect())) and every.count() == 400 * 150
+    assert [f for f in mine.columns] == [f for f in want.columns] == ["ray", "sphere", "t", "nth"]
+    # 2 places, 6 kinds of spheres and 4 copies of each: at most 48 pairs
+    starts = rays.select("x", "y", "z").distinct()
+    assert starts.count() == 2 and mine.count() == 1600

@@ -69,6 +69,16 @@ def as_number(hashed: Column) -> Column:
     return _let(hashed, run)
 
 
+def scientific(x: Column) -> Column:
+    """A number with seven digits, ties to the even one, as C prints them; Spark's own format rounds ties up.
+
+    Numbers of 24 bits that lie half way between two texts have eight digits, so longer texts show them.
+    """
+    tie = r"^(-?\d\.\d{5}[02468])50{8}(e.*)$"
+    long = F.format_string("%.15e", x)
+    return F.when(long.rlike(tie), F.regexp_replace(long, tie, "$1$2")).otherwise(F.format_string("%.6e", x))
+
+
 def manifest(names: DataFrame, scene: str, name: str) -> DataFrame:
     """(scene, manifest) with each scene's distinct names and their ids as JSON, in the order of names; nulls leave.
 

@@ -18,7 +18,7 @@ def hash_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
     d = named.unionByName(_table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("key"), F.concat_ws("/", "lang", "source").alias("name")))
     d = d.select("key", mattes.murmur(F.col("name")).alias("id"))
-    return d.select("key", "id", F.format_string("%.6e", mattes.as_number(F.col("id"))).alias("number"))
+    return d.select("key", "id", mattes.scientific(mattes.as_number(F.col("id"))).alias("number"))
 
 
 def matte_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def matte_finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lines.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("samples"))
     d = top.join(counts, "l_suppkey").select("l_suppkey", "slot", "weight", "samples", mattes.as_number(mattes.murmur(F.col("l_partkey").cast("string"))).alias("ident"))
     out = mattes.finalise(d, "l_suppkey", "slot", "ident", "weight", F.col("samples"))
-    return out.select("l_suppkey", "layer", *[F.format_string("%.6e", f"id_{k}").alias(f"id_{k}") for k in (0, 1)], *[F.round(f"weight_{k}", 6).alias(f"weight_{k}") for k in (0, 1)])
+    return out.select("l_suppkey", "layer", *[mattes.scientific(F.col(f"id_{k}")).alias(f"id_{k}") for k in (0, 1)], *[F.round(f"weight_{k}", 6).alias(f"weight_{k}") for k in (0, 1)])
 
 
 def _murmur(text: str) -> str:

@@ -53,3 +53,9 @@ def test_finalise(spark):
     d = spark.createDataFrame([(1, 1, 0.5, 6.0), (1, 2, -2.0, 3.0), (1, 3, 7.0, 1.0), (2, 1, 4.0, 5.0)], "p long, slot int, i double, w double")
     got = sorted(map(tuple, mattes.finalise(d, "p", "slot", "i", "w", F.lit(10.0)).collect()))
     assert got == [(1, 0, 0.5, 0.6, -2.0, 0.3), (1, 1, 7.0, 0.1, 0.0, 0.0), (2, 0, 4.0, 0.5, 0.0, 0.0)]
+
+
+def test_ties_print_as_in_c(spark):
+    values = [16683065.0, 16683075.0, -16683065.0, 1234562.5, 123456.25, 12345.125, -4125372.5, 0.0, 1.0, 1.5e-30, 3.780662e4]
+    d = spark.createDataFrame([(x,) for x in values], "x double").select("x", mattes.scientific(F.col("x")).alias("text"))
+    assert all(r["text"] == f"{r['x']:.6e}" for r in d.collect())

@@ -35,11 +35,16 @@ def wave(p: Vector, rings: bool, direction: str, profile: str, phase: str = "0.0
 
 
 def brick_mortar(x: str, y: str, width: str = "0.5", height: str = "0.25", mortar: str = "0.02", soft: str = "0.1", shift: str = "0.5", every: int = 2, squash: str = "1.0", squash_every: int = 2) -> str:
-    """How much of a point is mortar: 0 inside a brick, 1 at its edge; rows are shifted and squashed every so many rows."""
-    row = f"floor({y} / {height})"
+    """How much of a point is mortar: 0 inside a brick, 1 at its edge; rows are shifted and squashed every so many rows.
+
+    All numbers are doubles: engines multiply decimals by whole numbers or by doubles, so points at an edge would fall to either side.
+    """
+    width, height, mortar, soft, shift, squash = (f"CAST({n} AS DOUBLE)" for n in (width, height, mortar, soft, shift, squash))
+    down = lambda v: f"CAST(floor({v}) AS DOUBLE)"
+    row = down(f"{y} / {height}")
     wide = f"(CASE WHEN {row} % {squash_every} <> 0 THEN {width} ELSE {width} * {squash} END)" if every and squash_every else f"({width})"
-    moved = f"({x} + (CASE WHEN {row} % {every} <> 0 THEN 0.0 ELSE {wide} * {shift} END))" if every and squash_every else f"({x})"
-    inside = f"({moved} - {wide} * floor({moved} / {wide}))"
+    moved = f"({x} + (CASE WHEN {row} % {every} <> 0 THEN CAST(0 AS DOUBLE) ELSE {wide} * {shift} END))" if every and squash_every else f"({x})"
+    inside = f"({moved} - {wide} * {down(f'{moved} / {wide}')})"
     up = f"({y} - {height} * {row})"
     edge = f"least({inside}, {up}, {wide} - {inside}, {height} - {up})"
     return f"(CASE WHEN {edge} >= {mortar} THEN 0.0 WHEN {soft} = 0.0 THEN 1.0 ELSE {smooth(f'((1.0 - {edge} / {mortar}) / {soft})')} END)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from lumenframe.functions.hashing import Steps
 
 #: The least and largest exponents and the digits of half floats; the bias, digits and top of shared-exponent colours.
@@ -18,12 +20,24 @@ def exponent(x: str, low: int, high: int) -> str:
     return f"CAST({low} " + " ".join(f"+ CASE WHEN {x} >= {2.0**e:.17g} THEN 1 ELSE 0 END" for e in range(low + 1, high + 1)) + " AS BIGINT)"
 
 
-def to_half(name: str, x: str) -> Steps:
+def logged(name: str, x: str, low: int, high: int, plus: int = 0) -> Steps:
+    """Steps to the same number, plus some, in few operations, for Spark: a logarithm, put right by a comparison with the powers about it."""
+    near = f"floor(log2(greatest(least({x}, {2.0**high:.17g}D), {2.0**low:.17g}D)))"
+    right = f"CASE WHEN {x} >= {_power(f'({name}_g + 1)')} THEN 1 WHEN {x} < {_power(f'{name}_g')} THEN -1 ELSE 0 END"
+    return [(f"{name}_g", near), (name, f"CAST(CASE WHEN {x} IS NULL THEN {low} ELSE least(greatest({name}_g + {right}, {low}), {high}) END + {plus} AS BIGINT)")]
+
+
+def counted(name: str, x: str, low: int, high: int, plus: int = 0) -> Steps:
+    """exponent as a step, plus some."""
+    return [(name, f"({exponent(x, low, high)} + {plus})" if plus else exponent(x, low, high))]
+
+
+def to_half(name: str, x: str, exponents: Callable[..., Steps] = counted) -> Steps:
     """Steps to the 16 bits of the half float nearest to x, ties to even; infinite from 65520 on."""
     n = name
     return [
         (f"{n}_a", f"abs({x})"),
-        (f"{n}_e", exponent(f"{n}_a", HALF_LOW, HALF_HIGH)),
+        *exponents(f"{n}_e", f"{n}_a", HALF_LOW, HALF_HIGH),
         (f"{n}_q", f"(least({n}_a, 70000.0) * {_power(f'({HALF_BITS} - {n}_e)')})"),
         (f"{n}_f", f"CAST(floor({n}_q) AS BIGINT)"),
         (f"{n}_r", f"({n}_f + CASE WHEN {n}_q - {n}_f > 0.5 OR ({n}_q - {n}_f = 0.5 AND {n}_f % 2 = 1) THEN 1 ELSE 0 END)"),
@@ -38,7 +52,7 @@ def from_half(bits: str) -> str:
     return f"((CASE WHEN {bits} >= 32768 THEN -1.0 ELSE 1.0 END) * ({size}))"
 
 
-def shared_exponent(name: str, r: str, g: str, b: str) -> Steps:
+def shared_exponent(name: str, r: str, g: str, b: str, exponents: Callable[..., Steps] = counted) -> Steps:
     """Steps to the colour that survives 8 bits a channel with one exponent: name_r, name_g and name_b.
 
     Channels are rounded to the nearest step of the largest one, held at 255 steps; a colour too small for a step is black.
@@ -48,7 +62,7 @@ def shared_exponent(name: str, r: str, g: str, b: str) -> Steps:
     near = lambda x: f"floor({x} * {_power(f'({SHARED_BITS} - {n}_e)')} + 0.5)"
     step = _power(f"({n}_d - {SHARED_BITS})")
     channel = lambda x: f"(CASE WHEN {n}_t < {0.5 * 2.0 ** -(SHARED_BIAS + SHARED_BITS):.17g} THEN 0.0 ELSE sign({x}) * least(floor(abs({x}) / {step} + 0.5), 255.0) * {step} END)"
-    return [(f"{n}_t", top), (f"{n}_e", f"({exponent(f'{n}_t', -SHARED_BIAS - 1, 15)} + 1)"), (f"{n}_d", f"({n}_e + CASE WHEN {near(f'{n}_t')} >= 256 THEN 1 ELSE 0 END)"), *((f"{n}_{k}", channel(x)) for k, x in zip("rgb", (r, g, b), strict=True))]
+    return [(f"{n}_t", top), *exponents(f"{n}_e", f"{n}_t", -SHARED_BIAS - 1, 15, 1), (f"{n}_d", f"({n}_e + CASE WHEN {near(f'{n}_t')} >= 256 THEN 1 ELSE 0 END)"), *((f"{n}_{k}", channel(x)) for k, x in zip("rgb", (r, g, b), strict=True))]
 
 
 def file_name(path: str) -> str:

@@ -292,7 +292,7 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each takes (spark, sf_dir)."""
-    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | textures.QUERIES | helpers.QUERIES | scattering.QUERIES).items()} | {f.__name__: f for f in NATIVE + scenes.NATIVE + casting.NATIVE + sampling.NATIVE + curves.NATIVE + photometry.NATIVE + matting.NATIVE + scattering.NATIVE + lighting.NATIVE}
+    return {name: partial(shared, sql) for name, sql in (SHARED | rendering.QUERIES | helpers.SPARK | scattering.QUERIES).items()} | textures.NATIVE | {f.__name__: f for f in NATIVE + scenes.NATIVE + casting.NATIVE + sampling.NATIVE + curves.NATIVE + photometry.NATIVE + matting.NATIVE + scattering.NATIVE + lighting.NATIVE}
 
 
 def oracle_sql() -> dict[str, str]:

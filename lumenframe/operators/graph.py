@@ -11,17 +11,24 @@ from lumenframe.operators.lineage import settled
 def islands(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, island) for every node: island is the smallest node that undirected edges (a, b) lead to.
 
-    Each round takes the least island of all neighbours and then the island of that island, so long chains halve.
-    A round's table is written to spark.checkpoint.dir, and one look for changes a round goes to the driver.
+    Edges lead from larger to smaller nodes. A round leads each edge on to the least node that its end leads to, and then
+    links all that a node leads to with the least of them, so edges never grow in number and paths halve until all are stars.
+    Both tables of a round are written to spark.checkpoint.dir, and one row a round goes to the driver.
     """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "islands")
-    at = settled(nodes.select("node", F.col("node").alias("island")).distinct(), "islands")
+    known = settled(nodes.select("node").distinct(), "islands")
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):
+        down = down.join(known.withColumnRenamed("node", end), end, "left_semi")
+    down = settled(down.select("a", "b"), "islands")
     for _ in range(rounds):
-        near = both.join(at, F.col("b") == F.col("node")).groupBy("a").agg(F.min("island").alias("near"))
-        low = at.join(near, F.col("node") == F.col("a"), "left").select("node", "island", F.least("island", "near").alias("low"))
-        hop = at.select(F.col("node").alias("low"), F.col("island").alias("next"))
-        new = settled(low.join(hop, "low", "left").select("node", F.least("low", "next").alias("island"), (F.col("island") != F.least("low", "next")).alias("moved")), "islands")
-        at = new.select("node", "island")
+        low = down.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low"))
+        led = down.join(low, F.col("b") == F.col("at"), "left").groupBy("a", F.coalesce("low", "b").alias("b")).agg(F.max(F.col("low").isNotNull()).alias("moved"))
+        led = settled(led, "islands")
+        least = led.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"), F.max("moved").alias("moved"))
+        both = led.select("a", "b").join(least, "a")
+        linked = both.select(F.inline(F.array(F.struct("a", F.col("low").alias("b"), (F.col("moved") | (F.col("n") > 1)).alias("moved")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"), F.lit(False).alias("moved")))))
+        new = settled(linked.where("a <> b").groupBy("a", "b").agg(F.max("moved").alias("moved")), "islands")
+        down = new.select("a", "b")
         if new.where("moved").isEmpty():
-            return at
+            return settled(known.join(down.withColumnRenamed("b", "island"), F.col("node") == F.col("a"), "left").select("node", F.coalesce("island", "node").alias("island")), "islands")
     raise RuntimeError(f"islands still change after {rounds} rounds")

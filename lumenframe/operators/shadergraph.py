@@ -19,6 +19,8 @@ ROOT = "output"
 AT = ["graph", "node"]
 #: Steps of folding after which a graph is taken for one with a cycle; each settles a level of nodes at least.
 ROUNDS = 10_000
+#: Most nodes of a level that are broadcast, so that the edges of all graphs stay where they are.
+FEW = 100_000
 RGB = ("r", "g", "b")
 #: Kinds whose result is known as soon as their inputs are.
 FOLDED = ("value", "color", "math", "invert", "gamma", "brightness_contrast", "rgb_to_bw", "mix", "separate_color", "combine_color", "rgb_curves", "vector_curves", "float_curve", "rgb_ramp", "separate_xyz", "combine_xyz", "clamp", "vector_math")
@@ -30,11 +32,12 @@ def _keep(d: DataFrame) -> DataFrame:
 
 def reachable(nodes: DataFrame, edges: DataFrame, root: str = ROOT) -> DataFrame:
     """The nodes that the root of their graph needs, itself included."""
-    needs = edges.select("graph", F.col("to_node").alias("node"), F.col("from_node").alias("next")).distinct()
-    found = _keep(nodes.where(F.col("node") == root).select(*AT).distinct())
-    front = found
-    while not front.isEmpty():
-        front = _keep(front.join(needs, AT).select("graph", F.col("next").alias("node")).distinct().join(found, AT, "left_anti"))
+    needs = _keep(edges.select("graph", F.col("to_node").alias("node"), F.col("from_node").alias("next")).distinct())
+    found = front = _keep(nodes.where(F.col("node") == root).select(*AT).distinct())
+    while n := front.count():
+        if n <= FEW:
+            front = F.broadcast(front)
+        front = _keep(needs.join(front, AT).select("graph", F.col("next").alias("node")).distinct().join(found, AT, "left_anti"))
         found = _keep(found.unionByName(front))
     return nodes.join(found, AT, "left_semi")
 

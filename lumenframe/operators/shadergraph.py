@@ -9,16 +9,22 @@ edges whose ends do not exist do nothing, and null names link with nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import color, scalar, tables, vector
-from lumenframe.operators.lineage import settled
+from lumenframe.operators.lineage import settled, shared_path
 
 ROOT = "output"
 AT = ["graph", "node"]
-#: Steps of folding after which a graph is taken for one with a cycle; each settles a level of nodes at least.
+#: Steps of folding after which a graph is taken for one with a cycle; each but the last settles nodes.
 ROUNDS = 10_000
+#: Rounds that halve chains of nodes that are passed by: enough for any length.
+CHAIN = 64
+DEFAULTS = "map<string,array<double>>"
 #: Most nodes of a level that are broadcast, so that the edges of all graphs stay where they are.
 FEW = 100_000
 RGB = ("r", "g", "b")
@@ -172,40 +178,100 @@ def fold(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     are doubles; a missing default counts as 0, a missing factor as 0.5 (of curves and ramps as 0). Tables of curves lie in
     the defaults `curves` (three interleaved) or `curve`, those of ramps in `ramp` and `ramp_alpha`. Folded nodes stay, linked to nothing, until
     `reachable` prunes them. Break cycles first.
+
+    Rounds work on open nodes alone: those of FOLDED that feed others, a row a node with its links. A node that has sent its
+    result is open no longer, so tables shrink; sockets and edges of all nodes are written once, at the end.
     """
     nodes, edges = _keep(nodes), _keep(edges)
-    for _ in range(ROUNDS):
-        nodes, edges, changed = _decided(nodes, edges)
-        if changed:
-            continue
-        fed = edges.select("graph", F.col("to_node").alias("node")).distinct()
-        used = edges.select("graph", F.col("from_node").alias("node")).distinct()
-        known = nodes.where(F.col("kind").isin(*FOLDED)).join(fed, AT, "left_anti").join(used, AT, "left_semi")
-        bare = " OR ".join(f"(kind = '{k}' AND coalesce(size({t}), 0) <= 0)" for k, t in TABLED.items())
-        known = known.where(f"NOT ({bare})")
-        number = lambda names, d: F.coalesce(*(F.col("defaults")[n][0] for n in names), F.lit(d))
-        known = known.select(*AT, "kind", "params", "defaults", *(number(n, MISSING.get(k, 0.0)).alias(k) for k, n in NUMBERS.items()), *(F.coalesce(*(F.get(F.col("defaults")[x], F.lit(i)) for x in n), F.lit(0.0)).alias(f"{k}_{ch}") for k, n in COLOURS.items() for i, ch in enumerate(RGB)))
-        out = known.selectExpr("graph", "node AS from_node", f"explode({_results()}) AS (from_socket, result)")
-        sent = _keep(edges.join(out, ["graph", "from_node", "from_socket"]))
-        if sent.isEmpty():
-            return nodes, edges
-        nodes, edges = _write(nodes, edges, sent)
+    links = edges.groupBy("graph", F.col("to_node").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("to_socket", F.struct("from_node", "from_socket")))).alias("links"))
+    used = edges.select("graph", F.col("from_node").alias("node")).distinct()
+    open_ = nodes.where(F.col("kind").isin(*FOLDED)).select(*AT, "kind", "params", "defaults").join(used, AT, "left_semi").join(links, AT, "left")
+    open_ = _keep(_acting(open_.withColumn("links", F.coalesce("links", F.create_map().cast(links.schema["links"].dataType)))))
+    sent = shared_path(nodes.sparkSession, "sent")
+    for step in range(ROUNDS):
+        acts = {r["act"] for r in open_.where("act IS NOT NULL").select("act").distinct().collect()}
+        if not acts:
+            return _sent(nodes, edges, sent) if step else (nodes, edges)
+        first = acts - {"known"} or acts
+        now = _results_of(open_, first).withColumn("step", F.lit(step))
+        now = (_resolved(_keep(now)) if "via" in acts else now).drop("step")
+        now.write.parquet(f"{sent}/step={step}")
+        now = nodes.sparkSession.read.schema(now.schema).parquet(f"{sent}/step={step}").hint("merge")
+        open_ = _keep(_acting(_fed(open_.where(F.col("act").isNull() | ~F.col("act").isin(*first)), now)))
     raise RuntimeError(f"graphs still change after {ROUNDS} rounds: break cycles first")
 
 
-def _write(nodes: DataFrame, edges: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _results_of(open_: DataFrame, acts: set[str]) -> DataFrame:
+    """(graph, from_node, via, number, results) of acting nodes: the socket that they pass on, or what they send from all sockets or from each."""
+    acting = open_.where(F.col("act").isin(*acts))
+    if acts != {"known"}:
+        return acting.select("graph", F.col("node").alias("from_node"), F.when(F.col("act") == "via", F.col("via")).alias("via"), F.when(F.col("act") == "number", F.array("number")).alias("number"), F.lit(None).cast(DEFAULTS).alias("results"))
+    number = lambda names, d: F.coalesce(*(F.col("defaults")[n][0] for n in names), F.lit(d))
+    known = acting.select(*AT, "kind", "params", "defaults", "via", *(number(n, MISSING.get(k, 0.0)).alias(k) for k, n in NUMBERS.items()), *(F.coalesce(*(F.get(F.col("defaults")[x], F.lit(i)) for x in n), F.lit(0.0)).alias(f"{k}_{ch}") for k, n in COLOURS.items() for i, ch in enumerate(RGB)))
+    return known.selectExpr("graph", "node AS from_node", "via", "CAST(NULL AS array<double>) AS number", f"{_results()} AS results")
+
+
+def _resolved(now: DataFrame) -> DataFrame:
+    """now with passed sockets of nodes that act in this round replaced by what these pass on or send; chains halve."""
+    for _ in range(CHAIN):
+        to = now.select("graph", F.col("from_node").alias("next"), F.col("via").alias("next_via"), F.col("number").alias("next_number"))
+        met = now.withColumn("next", F.col("via.from_node")).join(to, ["graph", "next"], "left")
+        hit = F.col("next_via").isNotNull() | F.col("next_number").isNotNull()
+        met = _keep(met.select("graph", "from_node", F.when(hit, F.col("next_via")).otherwise(F.col("via")).alias("via"), F.coalesce("number", "next_number").alias("number"), "results", "step", hit.alias("hit")))
+        now = met.drop("hit")
+        if met.where("hit").isEmpty():
+            return now
+    raise RuntimeError(f"nodes still pass by each other after {CHAIN} rounds: break cycles first")
+
+
+def _arrived() -> tuple[Column, Column]:
+    # whether a result comes for an edge from a node that has acted, and the result
+    own = F.coalesce(F.map_contains_key("results", F.col("from_socket")), F.lit(False))
+    return F.col("number").isNotNull() | own, F.coalesce("number", F.col("results")[F.col("from_socket")])
+
+
+def _fed(open_: DataFrame, now: DataFrame) -> DataFrame:
+    """open_ with the results of now in its sockets and its links led past nodes that are passed by."""
+    hit, result = _arrived()
+    met = open_.select(*AT, F.explode("links").alias("to_socket", "link")).select(*AT, "to_socket", "link.*").join(now, ["graph", "from_node"])
+    met = met.where(hit | F.col("via").isNotNull()).groupBy(*AT).agg(*(F.map_from_entries(F.collect_list(F.when(when, F.struct("to_socket", value.alias("value"))))).alias(name) for name, when, value in (("new", hit, result), ("moved", F.col("via").isNotNull(), F.col("via")))))
+    without = lambda m, *others: F.map_filter(m, lambda k, _: ~_any(F.map_contains_key(o, k) for o in others))
+    defaults = F.map_concat(without(F.coalesce("defaults", F.create_map().cast(DEFAULTS)), "new"), "new")
+    links = F.map_concat(without("links", "new", "moved"), "moved")
+    some = F.col("new").isNotNull()
+    return open_.select(*AT, "kind", "params", "defaults", "links").join(met, AT, "left").select(*AT, "kind", "params", F.when(some, defaults).otherwise(F.col("defaults")).alias("defaults"), F.when(some, links).otherwise(F.col("links")).alias("links"))
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _sent(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after all that was sent in the tables of path, passed on from node to node."""
+    spark, names = nodes.sparkSession, ["graph", "from_node", "from_socket", "to_node", "to_socket"]
+    every = spark.read.parquet(path).drop("step").hint("merge")
+    hit, result = _arrived()
+    done, left = shared_path(spark, "ends"), edges.select(*names)
+    for step in range(ROUNDS):
+        met = left.join(every, ["graph", "from_node"], "left").select(*names, hit.alias("hit"), F.when(hit, result).alias("result"), F.when(~hit, F.col("via")).alias("via"))
+        met.write.parquet(f"{done}/step={step}")
+        met = spark.read.schema(met.schema).parquet(f"{done}/step={step}").hint("merge")
+        left = met.where("via IS NOT NULL").select("graph", F.col("via.from_node").alias("from_node"), F.col("via.from_socket").alias("from_socket"), "to_node", "to_socket")
+        if left.isEmpty():
+            ends = spark.read.schema(met.schema).parquet(done).where("via IS NULL").hint("merge")
+            return _write(nodes, ends.where("hit")), _keep(ends.where("NOT hit").select(*edges.columns))
+    raise RuntimeError(f"edges still move after {ROUNDS} rounds: break cycles first")
+
+
+def _write(nodes: DataFrame, sent: DataFrame) -> DataFrame:
     # sent: edges with a result; it becomes the default of the edge's socket
     new = sent.groupBy("graph", F.col("to_node").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("to_socket", "result"))).alias("new"))
-    old = F.map_filter(F.coalesce("defaults", F.create_map().cast("map<string,array<double>>")), lambda k, _: ~F.map_contains_key("new", k))
-    nodes = _keep(nodes.join(new, AT, "left").withColumn("defaults", F.when(F.col("new").isNull(), F.col("defaults")).otherwise(F.map_concat(old, "new"))).drop("new"))
-    on = ["graph", "from_node", "from_socket", "to_node", "to_socket"]
-    return nodes, _keep(edges.join(sent.select(*on), on, "left_anti").select(*edges.columns))
+    old = F.map_filter(F.coalesce("defaults", F.create_map().cast(DEFAULTS)), lambda k, _: ~F.map_contains_key("new", k))
+    return _keep(nodes.join(new, AT, "left").withColumn("defaults", F.when(F.col("new").isNull(), F.col("defaults")).otherwise(F.map_concat(old, "new"))).drop("new"))
 
 
-def _decided(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """One step over used nodes that have both linked and constant inputs, and whether there were any."""
-    links = edges.groupBy("graph", F.col("to_node").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("to_socket", F.struct("from_node", "from_socket")))).alias("links"))
-    some = nodes.where(F.col("kind").isin("math", "mix", "rgb_curves", "vector_curves", "float_curve")).join(links, AT).join(edges.select("graph", F.col("from_node").alias("node")), AT, "left_semi")
+def _acting(open_: DataFrame) -> DataFrame:
+    """open_ with act, what a node can do now: send a number or pass on a linked socket (via) as its constant inputs decide, or send its results, which are known without links."""
     is_ = lambda socket, x: ~F.map_contains_key("links", F.lit(socket)) & (F.coalesce(F.col("defaults")[socket][0], F.lit(0.5 if socket == "fac" else 0.0)) == x)
     op = lambda *names: (F.col("kind") == "math") & F.col("params")["math_type"].isin(*names) & (F.coalesce(F.col("params")["use_clamp"], F.lit("false")) != "true")
     linked = lambda s: F.col("links")[s]
@@ -216,14 +282,9 @@ def _decided(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame,
         none = ~F.map_contains_key("links", F.lit("fac")) & (F.coalesce(F.col("defaults")["fac"][0], F.lit(0.0)) == 0)
         via = via.when((F.col("kind") == kind) & none, linked(socket))
     result = F.when((op("multiply") & (is_("value1", 0.0) | is_("value2", 0.0))) | (op("divide") & is_("value1", 0.0)), F.lit(0.0)).when(op("power") & (is_("value2", 0.0) | is_("value1", 1.0)), F.lit(1.0))
-    found = _keep(some.select("graph", F.col("node").alias("from_node"), via.alias("via"), result.alias("number")).where("via IS NOT NULL OR number IS NOT NULL"))
-    if found.isEmpty():
-        return nodes, edges, False
-    sent = edges.join(found.where("number IS NOT NULL").select("graph", "from_node", F.array("number").alias("result")), ["graph", "from_node"])
-    nodes, edges = _write(nodes, edges, _keep(sent))
-    passed = found.where("number IS NULL").select("graph", "from_node", "via")
-    moved = edges.join(passed, ["graph", "from_node"], "left")
-    return nodes, _keep(moved.select("graph", F.coalesce("via.from_node", "from_node").alias("from_node"), F.coalesce("via.from_socket", "from_socket").alias("from_socket"), "to_node", "to_socket")), True
+    linked_, bare = F.size("links") > 0, " OR ".join(f"(kind = '{k}' AND coalesce(size({t}), 0) <= 0)" for k, t in TABLED.items())
+    act = F.when(linked_ & F.col("number").isNotNull(), "number").when(linked_ & F.col("via").isNotNull(), "via").when(~linked_ & F.expr(f"NOT ({bare})"), "known")
+    return open_.withColumns({"via": via, "number": result}).withColumn("act", act)
 
 
 def finalise(nodes: DataFrame, edges: DataFrame, root: str = ROOT) -> tuple[DataFrame, DataFrame]:
